@@ -1,10 +1,13 @@
 """The queries of the corpus operators, one for each, and the SQL of those that SQL can express."""
 
-from palisade.llm import exact_dedup
+from palisade.llm import bpe, decontaminate, exact_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
 }
