@@ -1,10 +1,12 @@
 """The queries of the corpus operators, one for each, and the SQL of those that SQL can express."""
 
-from palisade.llm import bpe, decontaminate, exact_dedup
+from palisade.llm import bpe, decontaminate, exact_dedup, language, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_language": language.op9_language,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE = {
