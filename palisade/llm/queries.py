@@ -1,9 +1,10 @@
 """The queries of the corpus operators, one for each, and the SQL of those that SQL can express."""
 
-from palisade.llm import bpe, decontaminate, exact_dedup, language, secrets
+from palisade.llm import bpe, decontaminate, exact_dedup, language, licenses, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_licenses": licenses.op2_licenses,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op8_secrets": secrets.op8_secrets,
     "op9_language": language.op9_language,
