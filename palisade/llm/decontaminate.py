@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,9 +132,9 @@ def judged(n_words: np.ndarray, n_hit: np.ndarray, items: list[list[int]], ids:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
 
-def hits(batch: pa.RecordBatch, benchmark: Benchmark, hasher: Hasher) -> pa.RecordBatch:
-    """The decision for each row of (doc_id, text)."""
-    data, offsets = utf8(batch.column(1))
+def hits(ids: pa.Array, texts: pa.Array, benchmark: Benchmark, hasher: Hasher) -> pa.RecordBatch:
+    """The decision for each text."""
+    data, offsets = utf8(texts)
     h, _, _, firsts = words(data, offsets, ALNUM, hasher)
     edge = np.zeros(len(h) + 1, np.int32)
     pairs = []
@@ -143,10 +145,10 @@ def hits(batch: pa.RecordBatch, benchmark: Benchmark, hasher: Hasher) -> pa.Reco
         rows = np.searchsorted(firsts, starts, "right") - 1
         pairs.append(np.unique(np.stack([rows, item], 1), axis=0))
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    items: list[list[int]] = [[] for _ in range(batch.num_rows)]
+    items: list[list[int]] = [[] for _ in range(len(texts))]
     for row, item in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else []:
         items[row].append(benchmark.items[item])
-    return judged(np.diff(firsts), covered[firsts[1:]] - covered[firsts[:-1]], items, batch.column(0))
+    return judged(np.diff(firsts), covered[firsts[1:]] - covered[firsts[:-1]], items, ids)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -156,24 +158,59 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     an id are one item. Repeated documents each give a row. A word that several windows cover counts once. Very long texts
     are read whole. Other columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
     rows = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
-    items = benchmark.selectExpr(f"cast(`{item_col}` as long) AS item_id", f"cast(`{item_text_col}` as string) AS text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size // 2 > broadcast_windows:  # a word and what follows it take two bytes at least
+    items = items_of(benchmark, item_col, item_text_col)
+    if too_large(items, broadcast_windows):
         from palisade.llm.decontaminate_join import joined
 
-        return joined(rows, items)
-    known = spark.sparkContext.broadcast(Benchmark([(i, t.encode()) for i, t in items.collect()]))
+        return joined(rows, items).drop("tag")
+    known = sent(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, benchmark = Hasher(), known.value
         for batch in chunks(batches, "text"):
-            yield hits(batch, benchmark, hasher)
+            yield hits(batch.column(0), batch.column(1), benchmark, hasher)
 
     return rows.mapInArrow(scan, SCHEMA)
 
 
+def items_of(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.selectExpr(f"cast(`{item_col}` as long) AS item_id", f"cast(`{item_text_col}` as string) AS text").where("item_id IS NOT NULL AND text IS NOT NULL")
+
+
+def too_large(items: DataFrame, broadcast_windows: int) -> bool:
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return size // 2 > broadcast_windows  # a word and what follows it take two bytes at least
+
+
+def sent(items: DataFrame) -> Broadcast:
+    """The benchmark's windows on all executors; its size has been checked."""
+    return items.sparkSession.sparkContext.broadcast(Benchmark([(i, t.encode()) for i, t in items.collect()]))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of docs, all columns, that decontaminate() doesn't call contaminated."""
+    items = items_of(benchmark, item_col, item_text_col)
+    if too_large(items, broadcast_windows):
+        # A benchmark of that size is met by a shuffle, by id and text.
+        from palisade.llm.decontaminate_join import joined
+
+        tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        found = joined(docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text"), items)
+        bad = found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
+        return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (tag == F.col("__tag")), "left_anti")
+    known = sent(items)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, benchmark = Hasher(), known.value
+        for batch in chunks(batches, text_col):
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            found = hits(pa.nulls(batch.num_rows, pa.int64()), texts, benchmark, hasher)
+            yield batch.filter(pc.invert(found.column("contaminated")))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decontaminate(docs, benchmark).drop("items")

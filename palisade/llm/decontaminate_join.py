@@ -90,7 +90,7 @@ def joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     out = counts.join(by, counts.doc_id.eqNullSafe(by.d) & (counts.tag == by.t), "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<long>"))
     digest = F.when(F.size(found) == 0, F.lit(NONE)).otherwise(F.sha2(F.array_join(F.array_sort(found.cast("array<string>")), ",").cast("binary"), 256))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), digest.alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), found.alias("items"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), digest.alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), found.alias("items"), "tag")
 
 
 def n_words() -> Column:

@@ -72,6 +72,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: s
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def survivors(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each text, and none of a text that the index had before."""
+    kept = deduplicate(docs, index, batch, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.withColumn("__digest", F.sha2(normalised(text_col).cast("binary"), 256))
+    out = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    return out.dropDuplicates([id_col, "__digest"]).drop("__digest")
+
+
 def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     """An empty index in the shared folder."""
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -143,6 +144,22 @@ def train(docs: DataFrame, per_language: int = 250, id_col: str = "doc_id") -> M
     return fit([r["text"].encode() for r in rows], [r["lang"] for r in rows])
 
 
+def predictions(texts: pa.Array, model: Model, tables: list[np.ndarray], most: int = 256) -> tuple[list[str], np.ndarray]:
+    """Each text's language and score; see identify()."""
+    letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
+    lang, share = [], np.zeros(len(texts))
+    for at in range(0, len(texts), most):
+        part = texts.slice(at, most)
+        best = np.zeros(len(part), int)
+        if model.languages:
+            s = scores(present(*utf8(part), tables, len(model.grams)), model)
+            best, e = s.argmax(1), np.exp(4 * (s - s.max(1, keepdims=True)))
+            share[at : at + most] = (e / e.sum(1, keepdims=True))[np.arange(len(part)), best]
+        lang += [model.languages[b] if ok and model.languages else UNDETERMINED for b, ok in zip(best, letter[at : at + most], strict=True)]
+    share[[x == UNDETERMINED for x in lang]] = 0
+    return lang, share
+
+
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -154,30 +171,32 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows each give a row; other columns are ignored; no rows give no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)  # n_landmarks x n_grams numbers at most
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         tables = model.tables()
-        for piece in chunks(batches, "text"):
-            for at in range(0, piece.num_rows, 256):
-                batch = piece.slice(at, 256)
-                n = batch.num_rows
-                if model.languages:
-                    data, offsets = utf8(batch.column(1))
-                    s = scores(present(data, offsets, tables, len(model.grams)), model)
-                    best, e = s.argmax(1), np.exp(4 * (s - s.max(1, keepdims=True)))
-                    share = (e / e.sum(1, keepdims=True))[np.arange(n), best].astype(np.float64)
-                else:
-                    best, share = np.zeros(n, int), np.zeros(n)
-                ok = [bool(x) and bool(model.languages) for x in batch.column(2).to_pylist()]
-                lang = [model.languages[b] if o else UNDETERMINED for b, o in zip(best, ok, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(ok, share, 0.0))], ["doc_id", "lang_pred", "score"])
+        for batch in chunks(batches, "text"):
+            lang, share = predictions(batch.column(1), model, tables)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language can be told: not those that identify() calls `und`."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = known.value
+        tables = model.tables()
+        for batch in chunks(batches, text_col):
+            lang, _ = predictions(batch.column(batch.schema.get_field_index(text_col)), model, tables)
+            yield batch.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, train(docs))
