@@ -1 +1,8 @@
 """palisade: a PySpark engine for analysing untrusted text and agent activity."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value: they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

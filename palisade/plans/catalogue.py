@@ -1,7 +1,7 @@
 """All queries of the engine, by name, with the SQL that gives the same rows where SQL can."""
 
-from palisade.plans import analytics
+from palisade.plans import analytics, text
 
-PARTS = (analytics,)
+PARTS = (analytics, text)
 QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in PARTS for k, v in p.ORACLE.items()}
