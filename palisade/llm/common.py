@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,13 +10,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions of this package travel to executors by value: they need not have it installed.
-cloudpickle.register_pickle_by_value(sys.modules["palisade"])
-
 #: Rows of a side that may be broadcast: groups that hold over 1/HEAVY of the rows are fewer than this.
 HEAVY = 1000
 
