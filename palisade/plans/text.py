@@ -92,7 +92,7 @@ STATISTICAL = f"CASE WHEN len(w1) < 20 THEN 0 ELSE least(1.0::DOUBLE, 8 * CAST({
 score = lambda name, f: (lambda s, d: t.planted(s, d).select("doc_id", F.round(f(F.col("text")), 6).alias(name)))
 add("statistical_score", score("score", det.statistical_score), P + f", {B} SELECT doc_id, round({STATISTICAL}, 6) AS score FROM b")
 LEX = "lex AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in rules.LEXICON.items()) + ") v(term, idf))"
-TFIDF = f", {LEX}, n AS (SELECT doc_id, len(a) AS n, unnest(a) AS term FROM b), c AS (SELECT doc_id, n, term, CAST(count(*) AS DOUBLE) / n AS tf FROM n GROUP BY ALL), tf AS (SELECT doc_id, least(1.0::DOUBLE, sum(tf * idf * idf) / (sqrt(sum(tf * idf * tf * idf)) * {sum(v * v for v in rules.LEXICON.values()) ** 0.5!r}) * least(1.0::DOUBLE, count(*) / 15.0::DOUBLE) * 2.2) AS tfidf FROM c JOIN lex USING (term) WHERE n >= 5 GROUP BY 1)"
+TFIDF = f", {LEX}, n AS (SELECT doc_id, len(a) AS n, unnest(a) AS term FROM b), c AS (SELECT doc_id, n, term, CAST(count(*) AS DOUBLE) / n AS tf FROM n GROUP BY doc_id, n, term), tf AS (SELECT doc_id, least(1.0::DOUBLE, sum(tf * idf * idf) / (sqrt(sum(tf * idf * tf * idf)) * {sum(v * v for v in rules.LEXICON.values()) ** 0.5!r}) * least(1.0::DOUBLE, count(*) / 15.0::DOUBLE) * 2.2) AS tfidf FROM c JOIN lex USING (term) WHERE n >= 5 GROUP BY 1)"
 add("tfidf_score", score("score", det.tfidf_score), P + f", {B} {TFIDF} SELECT doc_id, round(coalesce(tfidf, 0), 6) AS score FROM b LEFT JOIN tf USING (doc_id)")
 ENTROPY = ", e0 AS (SELECT doc_id, len(w2) AS n, unnest(w2) AS w FROM b), e1 AS (SELECT doc_id, n, w, CAST(count(*) AS DOUBLE) AS c FROM e0 GROUP BY ALL), e2 AS (SELECT doc_id, any_value(n) AS n, count(*) AS k, -sum(c / n * log2(c / n)) AS e FROM e1 GROUP BY 1), e3 AS (SELECT *, CASE WHEN k > 1 THEN e / log2(k) ELSE 1 END AS norm, 0.70::DOUBLE * least(1.0::DOUBLE, n / 80.0::DOUBLE) + 0.15 AS lim FROM e2), e4 AS (SELECT doc_id, CASE WHEN n < 15 THEN 0 ELSE round(e, 4) END AS entropy, CASE WHEN n < 15 THEN 1 ELSE round(norm, 4) END AS normalised, n >= 15 AND ((norm < lim AND n > 25) OR (k / n < 0.45 AND n > 30)) AS anomaly, CASE WHEN n < 15 THEN 1 ELSE round(k / n, 4) END AS distinct_share FROM e3)"
 add("token_entropy", lambda s, d: t.planted(s, d).select("doc_id", det.token_entropy(F.col("text")).alias("e")).select("doc_id", "e.entropy", "e.normalised", "e.anomaly", F.col("e.distinct").alias("distinct_share")), P + f", {B} {ENTROPY} SELECT b.doc_id, coalesce(entropy, 0) AS entropy, coalesce(normalised, 1) AS normalised, coalesce(anomaly, false) AS anomaly, coalesce(distinct_share, 1) AS distinct_share FROM b LEFT JOIN e4 USING (doc_id)")
