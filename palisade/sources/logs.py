@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: A log line: any field may be missing.
-LINE = StructType.fromDDL("ts string, hook string, tool string, source string, layer string, maxSev int, severity int, detections int, findings array<string>, confidence double, latencyMs int, command string, url string, reason string, error string")
+LINE = "ts string, hook string, tool string, source string, layer string, maxSev int, severity int, detections int, findings array<string>, confidence double, latencyMs int, command string, url string, reason string, error string"
 
 
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
