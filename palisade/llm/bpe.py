@@ -6,14 +6,16 @@ can no longer be read, and an arc w, which leads where v led after u, is added t
 copy is kept as its difference from the state that it copies: arcs removed at some step, on top of the older state. A state
 therefore depends on the last token only, and looking up an arc walks the differences; what is found is kept in a table.
 
-Every prefix of a word has one tokenization, so reading a word left to right, one token ends at each place that can be
-reached: the arc whose state before it accepts it. Encoding follows those arcs; decoding emits the bytes on their labels.
+Every prefix of a word has one tokenization, and so has a whole word: any path of the automaton that spells it is the one.
+Encoding follows such arcs by tables; decoding emits the bytes on their labels.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -52,6 +54,10 @@ class Automaton:
             self.removed.setdefault(u, {})[v] = step
             if w not in self.born:
                 self.born[w], self.left[w], self.right[w] = step, u, v
+        #: Token of a word that is one token; bytes of a token; the longest token that begins it.
+        self.whole = {labels[t]: t for t in self.born}
+        self.size = {t: len(labels[t]) for t in self.born}
+        self.shorter = {t: next((self.whole[labels[t][:k]] for k in range(len(labels[t]) - 1, 0, -1) if labels[t][:k] in self.whole), -1) for t in self.born}
         #: Byte tables: node -> byte -> node of a prefix tree; node -> the token that ends there.
         self.next: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -64,6 +70,14 @@ class Automaton:
                     self.token.append(-1)
                 node = self.next[node][b]
             self.token[node] = t
+        #: Three bytes that begin a token -> their node and the longest token within them.
+        self.begin: dict[bytes, tuple[int, int]] = {}
+        for label in {labels[t][:3] for t in self.born if len(labels[t]) >= 3}:
+            node, best = 0, -1
+            for b in label:
+                node = self.next[node][b]
+                best = self.token[node] if self.token[node] >= 0 else best
+            self.begin[label] = (node, best)
         self.arcs: dict[tuple[int, int], bool] = {}
 
     def reads(self, last: int, token: int) -> bool:
@@ -86,40 +100,53 @@ class Automaton:
             until, state = min(until, self.born[state]), self.right[state]
 
     def word(self, data: bytes) -> list[int]:
-        """The tokens of one pre-split word."""
+        """The tokens of one pre-split word.
+
+        Reads the longest arc first and steps back where the automaton goes no further. A place that is reached has one
+        token sequence before it, so a place from which the end can't be reached is never tried again.
+        """
         n = len(data)
-        whole, node = -1, 0
-        last: list[int] = [-1] * (n + 1)
-        begin = [0] * (n + 1)
-        arcs, follow, token = self.arcs, self.next, self.token
-        for i in range(n):
-            before = last[i]
-            if i and before < 0:
-                continue
-            node = 0
-            for j in range(i, n):
-                node = follow[node].get(data[j], -1)
-                if node < 0:
+        whole = self.whole.get(data)
+        if whole is not None:
+            return [whole]
+        arcs, follow, token, size, shorter, begin = self.arcs, self.next, self.token, self.size, self.shorter, self.begin
+        out: list[int] = []
+        dead: set[int] = set()
+        at = 0
+        while at < n:
+            # The longest token from here.
+            node, t = begin.get(data[at : at + 3], (0, -1))
+            for b in data[at + 3 :] if node else data[at:]:
+                node = follow[node].get(b)
+                if node is None:
+                    break
+                if token[node] >= 0:
+                    t = token[node]
+            while True:
+                while t >= 0:
+                    if at + size[t] not in dead:
+                        if not out:
+                            break
+                        pair = (out[-1], t)
+                        ok = arcs.get(pair)
+                        if ok is None:
+                            if len(arcs) > 1_000_000:
+                                arcs.clear()
+                            ok = arcs[pair] = self.reads(*pair)
+                        if ok:
+                            break
+                    t = shorter[t]
+                if t >= 0:
+                    out.append(t)
+                    at += size[t]
                     break
-                t = token[node]
-                if t < 0:
-                    continue
-                if i:
-                    ok = arcs.get((before, t))
-                    if ok is None:
-                        if len(arcs) > 2_000_000:
-                            arcs.clear()
-                        ok = arcs[before, t] = self.reads(before, t)
-                    if not ok:
-                        continue
-                last[j + 1], begin[j + 1] = t, i
-        out = []
-        while n > 0:
-            if last[n] < 0:
-                raise ValueError(f"no token sequence for {data!r}: the vocabulary lacks a byte")
-            out.append(last[n])
-            n = begin[n]
-        return out[::-1]
+                if not out:
+                    raise ValueError(f"no token sequence for {data!r}: the vocabulary lacks a byte")
+                dead.add(at)
+                t = out.pop()
+                at -= size[t]
+                t = shorter[t]
+        return out
 
 
 def compile_merges(tokenizer_json: str) -> Automaton:
@@ -134,29 +161,53 @@ def compile_merges(tokenizer_json: str) -> Automaton:
     return Automaton(labels, [(vocab[u], vocab[v]) for u, v in pairs], special)
 
 
+#: Letters and numbers below this point are listed one by one for a faster splitter; texts with others take the general one.
+LISTED = 0x250
+
+
+def listed_pattern() -> re.Pattern[str]:
+    """PATTERN for texts whose characters all lie below LISTED."""
+    of = lambda kind: "".join(re.escape(chr(k)) for k in range(LISTED) if unicodedata.category(chr(k))[0] == kind)
+    letters, numbers, spaces = of("L"), of("N"), r"\t-\r \x85\xa0"
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
 class Codec:
-    """Encodes texts and decodes ids; keeps the ids of words it has met, in bounded memory."""
+    """Encodes texts and decodes ids. Words met lately keep their ids, in two generations of `most` words: when the younger is
+    full it becomes the older one, and what the older one held is forgotten."""
 
-    def __init__(self, automaton: Automaton, most: int = 300_000) -> None:
+    def __init__(self, automaton: Automaton, most: int = 250_000) -> None:
         self.automaton, self.most = automaton, most
-        self.split = regex.compile(PATTERN)
+        self.general, self.listed = regex.compile(PATTERN), listed_pattern()
+        self.is_listed = re.compile(f"[\x00-{chr(LISTED - 1)}]*").fullmatch
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(automaton.special, key=len, reverse=True))) if automaton.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.label = [automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)]
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.label))]
 
     def ids_of(self, word: str) -> bytes:
-        out = b"".join(t.to_bytes(4, "little") for t in self.automaton.word(word.encode()))
+        """Of a word that isn't among the younger known ones."""
+        out = self.older.get(word)
+        if out is None:
+            packed = self.packed
+            out = b"".join([packed[t] for t in self.automaton.word(word.encode())])
         if len(word) < 64:
             if len(self.known) >= self.most:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = out
         return out
 
     def plain(self, text: str, out: list[bytes]) -> None:
-        known, ids_of = self.known, self.ids_of
-        for word in self.split.findall(text):
-            found = known.get(word)
-            out.append(ids_of(word) if found is None else found)
+        words = (self.listed if self.is_listed(text) else self.general).findall(text)
+        found = list(map(self.known.get, words))
+        if None in found:
+            known, ids_of = self.known, self.ids_of
+            for k, x in enumerate(found):
+                if x is None:
+                    word = words[k]
+                    found[k] = known.get(word) or ids_of(word)
+        out += found
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers. Special tokens' strings are taken as those tokens."""
@@ -165,7 +216,7 @@ class Codec:
         if self.special is not None:
             for m in self.special.finditer(text):
                 self.plain(text[at : m.start()], out)
-                out.append(self.automaton.special[m.group()].to_bytes(4, "little"))
+                out.append(self.packed[self.automaton.special[m.group()]])
                 at = m.end()
         self.plain(text[at:] if at else text, out)
         return b"".join(out)
