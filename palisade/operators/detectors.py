@@ -47,6 +47,41 @@ def comment_findings(text: Column) -> Column:
     return F.size(F.filter(F.regexp_extract_all(text, F.lit(r"<!--[\s\S]*?-->"), F.lit(0)), lambda c: c.rlike(any_of)))
 
 
+def named(text: Column, table: dict[str, tuple[int, str]], prefix: str) -> Column:
+    """Findings of a table of named patterns, one each."""
+    each = F.array(*[F.when(text.rlike(js(p)), F.struct(F.lit(f"{prefix}:{name}").alias("detector"), F.lit(s).alias("severity"), F.lit(1).alias("count"))) for name, (s, p) in table.items()])
+    return F.array_compact(each)
+
+
+def command_findings(command: Column) -> Column:
+    """Commands that carry data out; a new git remote counts unless its host is a usual one."""
+    host = F.lower(F.regexp_extract(command, js(rules.GIT_REMOTE), 1))
+    git = F.when((host != "") & ~host.isin(*rules.GIT_HOSTS), F.array(F.struct(F.lit("command_exfil:git_exfiltration").alias("detector"), F.lit(8).alias("severity"), F.lit(1).alias("count")))).otherwise(F.array().cast(FINDING))
+    return F.concat(named(command, rules.COMMAND_EXFIL, "command_exfil"), git)
+
+
+def hidden_findings(html: Column) -> Column:
+    """How many elements that aren't shown hold an injection."""
+    any_of = "|".join(f"(?:{js(p)})" for _, ps in rules.INJECTION.values() for p in ps)
+    return F.size(F.filter(F.regexp_extract_all(html, F.lit(js(rules.HIDDEN_STYLE)), F.lit(1)), lambda x: x.rlike(any_of)))
+
+
+def decoded_texts(text: Column, depth: int = 3) -> Column:
+    """What base64, hex and percent runs decode to, and what those hold in turn, to a depth; the text in ROT13 comes last."""
+    level = F.array(text)
+    found = F.array().cast("array<string>")
+    for _ in range(depth):
+        level = F.flatten(F.transform(level, lambda t: F.concat(tx.base64_payloads(t), tx.hex_payloads(t), tx.url_payloads(t))))
+        found = F.concat(found, level)
+    return F.concat(F.array_distinct(found), F.array(tx.rot13(text)))
+
+
+def encoded_findings(text: Column) -> Column:
+    """Injections within decoded texts; each is one step more severe than in the open."""
+    found = F.flatten(F.transform(decoded_texts(text), injection_findings))
+    return F.transform(found, lambda f: F.struct(F.lit("encoded_injection").alias("detector"), F.least(F.lit(10), f["severity"] + 1).alias("severity"), f["count"].alias("count")))
+
+
 def decision(severity: Column, modifier: int = 0) -> Column:
     return F.when(severity >= 9 + modifier, "block").when(severity >= 7 + modifier, "sanitize").when(severity > 0, "warn").otherwise("pass")
 
