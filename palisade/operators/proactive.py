@@ -167,3 +167,31 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     half = lambda a, m: F.aggregate(F.zip_with(a, m, lambda x, y: F.when((x > 0) & (y > 0), x * F.log2(x / y)).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
     mean = F.zip_with(p, q, lambda x, y: (x + y) / 2)
     return F.when(F.size(p) != F.size(q), 1.0).otherwise((half(p, mean) + half(q, mean)) / 2)
+
+
+def offline_full(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with all scores that need no model and their composite: detectors.offline_scores, with vocabularies' meeting and the
+    coherence scores added for texts of 80 characters or more."""
+    from palisade.operators.detectors import mutual_information, offline_scores
+
+    out = scores(offline_scores(docs, text).drop("composite", "injection"), text)
+    long = F.length(text) >= 80
+    out = out.withColumn("mutual", F.when(long, mutual_information(F.col(text))).otherwise(0.0))
+    flags = F.col("flags") + (F.col("mutual") > 0.35).cast("int") + (F.col("stylometric") > 0.35).cast("int") + (F.col("temporal") > 0.30).cast("int") + (F.col("grammar") > 0.35).cast("int")
+    base = 0.25 * F.col("tfidf") + F.when(F.col("entropy.anomaly"), 0.12).otherwise(0.0) + 0.25 * F.col("structural") + 0.20 * F.col("statistical") + 0.10 * F.col("mutual") + 0.03 * F.col("stylometric") + 0.03 * F.col("temporal") + 0.06 * F.col("grammar")
+    bonus = F.when(F.col("flags") >= 4, 0.18).when(F.col("flags") >= 3, 0.12).when(F.col("flags") >= 2, 0.06).otherwise(0.0)
+    out = out.withColumn("flags", flags).withColumn("composite", F.least(F.lit(1.0), base + bonus))
+    return out.withColumn("injection", F.col("composite") > 0.35)
+
+
+def cascade(docs: DataFrame, text: str = "text", context: str = "context", contexts: tuple[str, ...] = ("web_fetch", "email", "mcp_external", "pdf_read", "general")) -> DataFrame:
+    """docs with `layer` and `decision`: rules first; only texts that pass them, are long enough and come from a listed context
+    are scored. The two parts are filtered apart, so that Python functions see the second only."""
+    from palisade.operators.detectors import scan
+
+    first = scan(docs, text)
+    gate = (F.col("decision") == "pass") & (F.length(text) >= 50) & F.col(context).isin(*contexts)
+    known = first.where(~F.coalesce(gate, F.lit(False))).withColumn("layer", F.when(F.col("decision") == "pass", "none").otherwise("regex"))
+    rest = offline_full(first.where(gate), text)
+    rest = rest.withColumn("decision", F.when(F.col("composite") >= 0.85, "block").when(F.col("injection"), "sanitize").otherwise("pass")).withColumn("layer", F.when(F.col("injection"), "semantic").otherwise("none"))
+    return known.select(*docs.columns, "layer", "decision").unionByName(rest.select(*docs.columns, "layer", "decision"))
