@@ -62,17 +62,18 @@ def drop_table(df: DataFrame) -> None:
 
 
 # ---------------------------------------------------------------- skew
-def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """rows joined with groups, which has one row a key and the number of its rows in `size`; no key may make a large task.
 
-    Keys with over total / HEAVY of the rows number fewer than HEAVY, so they are broadcast; any other key is too small to
-    make a partition of the sort-merge join stand out. groups is read twice: pass a materialised table.
+    Keys with over total / HEAVY of the rows number fewer than HEAVY, so they are broadcast, and their rows stay where they
+    are; any other key is too small to make a partition of the sort-merge join stand out. Both sides are read twice: pass
+    materialised tables. Null keys join nothing.
     """
+    keys = [key] if isinstance(key, str) else key
     most = max(1, total // HEAVY)
     heavy, light = groups.where(F.col(size) > most), groups.where(F.col(size) <= most)
-    keys = F.broadcast(heavy.select(F.col(key).alias("__heavy")))
-    rest = rows.join(keys, rows[key] == F.col("__heavy"), "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light.hint("merge"), key, how), allowMissingColumns=True)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge"), keys))
 
 
 # ---------------------------------------------------------------- columns

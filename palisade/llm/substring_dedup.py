@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import Hasher, chunks, drop_table, materialise, mix, utf8
+from palisade.llm.common import Hasher, chunks, drop_table, lookup, materialise, mix, utf8
 
 LENGTH, GRAM = 200, 64
 #: Places that the window of a string has for its anchor.
@@ -237,7 +237,8 @@ def repeated_stretches(rows: DataFrame, most_contexts: int = MOST_CONTEXTS) -> D
     mixed = kept.where("NOT uniform")
     at = F.min(F.struct("doc_id", "tag", "first", "strings", "at"))
     distinct = materialise(mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), at.alias("x")), "distinct_contexts")
-    several = mixed.join(distinct.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    # Copies by the thousand share a context: such rows are looked up without a shuffle.
+    several = lookup(mixed, distinct.where("n > 1").select("gram", "context", "n"), ["gram", "context"], "n", kept.count())
     many = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most_contexts).select("gram")
     # Fewer grams than contexts / most_contexts are that common; none in most corpora.
     distinct = materialise(distinct.join(many.withColumn("hot", F.lit(True)), "gram", "left"), "contexts")
