@@ -238,8 +238,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     nodes = materialise(real.groupBy("node").agg(F.min("doc_id").alias("least"), first.alias("at"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands")), "nodes")
 
     met = nodes.select("node", F.explode("bands").alias("key"))
-    full = met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = materialise(met.join(full, "key").select("key", "node", "members"), "met")
+    full = materialise(met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "keys")
+    met = materialise(lookup(met, full, "key", "members", BANDS * nodes.count()).select("key", "node", "members"), "met")
     wanted = met.select("node").distinct().join(nodes.select("node", "at"), "node")
     wanted = wanted.select("node", F.col("at.doc_id").alias("__id"), F.col("at.tag").alias("__tag"))
     texts = rows.join(wanted, rows.doc_id.eqNullSafe(F.col("__id")) & (rows.tag == F.col("__tag"))).select("node", "text")
@@ -251,17 +251,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     clusters = materialise(components(by.mapInArrow(meetings(most_bits(percent)), edges_shape)), "clusters")
     drop_table(met)
 
-    own = sets.select("node", "n", "shingles").join(clusters, "node")
-    size = clusters.join(sets.select("node", "n"), "node").groupBy("root").agg(F.sum("n").alias("total"))
-    size = size.select(F.col("root").alias("__root"), F.ceil(F.col("total") / cluster).alias("__c"))
-    held = in_blocks(own.join(size, F.col("root") == F.col("__root")), "root", "__c", ["node", "n", "shingles"])
+    sizes = clusters.join(sets.select("node", "n"), "node").groupBy("root").agg(F.ceil(F.sum("n") / cluster).alias("__c"), F.count(F.lit(1)).alias("members"))
+    own = lookup(clusters, materialise(sizes, "sizes"), "root", "members", clusters.count())
+    held = in_blocks(own.join(sets.select("node", "n", "shingles"), "node"), "root", "__c", ["node", "n", "shingles"])
     by = held.repartition("key", "block").sortWithinPartitions("key", "block")
     found = materialise(components(by.mapInArrow(confirmed(percent), edges_shape)), "components")
     drop_table(sets)
 
-    ids = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(ids.select("node", "size", "root").join(least, "root").select("node", "size", "component_id"), "named")
+    ids = materialise(nodes.select("node", "size", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "ids")
+    least = materialise(ids.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
+    named = materialise(lookup(ids, least, "root", "members", ids.count()).select("node", "size", "component_id"), "named")
     total = signed.count()
     out = lookup(real.select("doc_id", "n", "node", "tag"), named, "node", "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "tag")
     alone = signed.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "tag")
