@@ -60,6 +60,32 @@ def command_findings(command: Column) -> Column:
     return F.concat(named(command, rules.COMMAND_EXFIL, "command_exfil"), git)
 
 
+def bash_findings(command: Column) -> Column:
+    """Commands that are refused; give it plain_command_column's text to see through disguises."""
+    wrapped = F.when(command.rlike(js(r"\beval\b")), F.array(F.struct(F.lit("bash_guard:eval_execution").alias("detector"), F.lit(8).alias("severity"), F.lit(1).alias("count")))).otherwise(F.array().cast(FINDING))
+    substituted = F.when(command.rlike(r"<\(\s*(?:curl|wget)"), F.array(F.struct(F.lit("bash_guard:process_substitution").alias("detector"), F.lit(8).alias("severity"), F.lit(1).alias("count")))).otherwise(F.array().cast(FINDING))
+    return F.concat(named(command, rules.BASH_GUARD, "bash_guard"), wrapped, substituted)
+
+
+def few_shot_hits(text: Column) -> Column:
+    """Demonstrations of obedience: how many stand in a text."""
+    return sum((F.regexp_count(text, F.lit(js(p))) for p in rules.FEW_SHOT[1:]), F.regexp_count(text, F.lit(js(rules.FEW_SHOT[0]))))
+
+
+def dense_windows(text: Column, size: int = 500, bits: float = 5.5, most: int = 3) -> Column:
+    """Offsets of windows whose characters hold more than `bits` of entropy; the first `most`."""
+    starts = F.when(F.length(text) > size, F.sequence(F.lit(0), F.length(text) - size - 1, F.lit(size // 2))).otherwise(F.array().cast("array<int>"))
+    own = lambda i: entropy(F.transform(counts(F.split(F.substring(text, i + 1, F.lit(size)), "")), lambda c: c.cast("double")), F.lit(float(size)))
+    return F.slice(F.filter(starts, lambda i: own(i) > bits), 1, most)
+
+
+def seed_kind(seed: Column) -> Column:
+    out = F.lit("default")
+    for kind, pattern in reversed(rules.SEED_KINDS):
+        out = F.when(F.lower(seed).rlike(pattern), kind).otherwise(out)
+    return out
+
+
 def hidden_findings(html: Column) -> Column:
     """How many elements that aren't shown hold an injection."""
     any_of = "|".join(f"(?:{js(p)})" for _, ps in rules.INJECTION.values() for p in ps)
