@@ -111,7 +111,7 @@ class Writer:
             if k < 0.93:
                 return f"<figure><img src=x><figcaption>{MARK}{self.words(2, 9)}</figcaption></figure>"
             if k < 0.965:
-                return r.choice([self.advert, self.advert, self.sidebar, self.share, self.form, self.notice])()
+                return r.choice([self.advert, self.advert, self.sidebar, self.share, self.form, self.notice, self.comments, self.nav])()
             return f"<div>{MARK}{self.sentences(1, 4)}</div>"
 
         title = r.choice(["", f"<h1>{MARK}{self.words(3, 12)}</h1>", f"<h1>{MARK}{self.sentences(1, 2)}</h1>", f"<h2>{MARK}{self.words(2, 9)}</h2>", f"<header><h1>{MARK}{self.words(2, 9)}</h1></header>"])
@@ -130,7 +130,12 @@ class Writer:
             after = r.sample([self.comments, self.sidebar, self.share, self.form, self.advert, self.notice, self.nav], r.randint(0, 4)) + r.choice([[self.footer], [self.footer], []])
         middle = self.article() if r.random() > 0.03 else ""
         wrap = r.choice(["{}", "{}", "{}", "<div>{}</div>", '<div class="wrapper">{}</div>', '<div id="page"><div class="row">{}</div></div>'])
-        inside = "".join(f() for f in before) + middle + "".join(f() for f in after)
+        rest = [f() for f in after]
+        if r.random() < 0.2:
+            # One container holds the article and what stands beside it.
+            k, (start, stop) = r.randint(0, len(rest)), r.choice([("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main">', "</div>"), ("<section>", "</section>"), ('<div class="container content-area">', "</div>")])
+            middle, rest = start + middle + "".join(rest[:k]) + stop, rest[k:]
+        inside = "".join(f() for f in before) + middle + "".join(rest)
         return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{wrap.format(inside)}' + r.choice(["</body></html>", "</body></html>", ""])
 
 
@@ -175,7 +180,7 @@ def back_lstm(x: np.ndarray, u: np.ndarray, kept: list, dout: np.ndarray) -> tup
     return dw, du, db
 
 
-def train(n_pages: int = 2400, epochs: int = 14, size: int = 16, seed: int = 7, batch: int = 48, rate: float = 0.008) -> dict[str, np.ndarray]:
+def train(n_pages: int = 3600, epochs: int = 16, size: int = 16, seed: int = 7, batch: int = 48, rate: float = 0.008) -> dict[str, np.ndarray]:
     rng, py = np.random.default_rng(seed), random.Random(seed)
     data = sorted((e for e in (example(py) for _ in range(n_pages)) if len(e[1])), key=lambda e: len(e[1]))
     p = {}
