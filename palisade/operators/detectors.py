@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palisade.functions import rules, text as tx
 from palisade.functions.numbers import clamp, entropy, jaccard
 from palisade.functions.rules import js
+from palisade.functions.rules_languages import LANGUAGES
 
 
 def let(value: Column, use) -> Column:
@@ -67,6 +68,13 @@ def bash_findings(command: Column) -> Column:
     return F.concat(named(command, rules.BASH_GUARD, "bash_guard"), wrapped, substituted)
 
 
+def language_findings(text: Column) -> Column:
+    """An array of (language, count): patterns that occur, by language. A text that none touches costs one search."""
+    all_of = "(?iu)" + "|".join(f"(?:{p})" for ps in LANGUAGES.values() for p in ps)
+    each = F.array(*[F.struct(F.lit(k).alias("language"), sum((text.rlike("(?iu)" + p).cast("int") for p in ps[1:]), text.rlike("(?iu)" + ps[0]).cast("int")).alias("count")) for k, ps in LANGUAGES.items()])
+    return F.when(text.rlike(all_of), F.filter(each, lambda x: x["count"] > 0)).otherwise(F.array().cast("array<struct<language:string,count:int>>"))
+
+
 def few_shot_hits(text: Column) -> Column:
     """Demonstrations of obedience: how many stand in a text."""
     return sum((F.regexp_count(text, F.lit(js(p))) for p in rules.FEW_SHOT[1:]), F.regexp_count(text, F.lit(js(rules.FEW_SHOT[0]))))
