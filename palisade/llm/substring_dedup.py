@@ -239,15 +239,16 @@ def repeated_stretches(rows: DataFrame, most_contexts: int = MOST_CONTEXTS) -> D
     distinct = materialise(mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), at.alias("x")), "distinct_contexts")
     # Copies by the thousand share a context: such rows are looked up without a shuffle.
     several = lookup(mixed, distinct.where("n > 1").select("gram", "context", "n"), ["gram", "context"], "n", kept.count())
-    many = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most_contexts).select("gram")
-    # Fewer grams than contexts / most_contexts are that common; none in most corpora.
-    distinct = materialise(distinct.join(many.withColumn("hot", F.lit(True)), "gram", "left"), "contexts")
+    many = materialise(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most_contexts).select("gram", F.lit(True).alias("hot")), "many")
+    crowded = bool(many.limit(1).count())
+    # Both sides are plain exchanges then, so that adaptive execution can split a gram's rows.
+    distinct = distinct.join(many, "gram", "left") if crowded else distinct.withColumn("hot", F.lit(None).cast("boolean"))
     by_doc = distinct.groupBy(F.col("x.doc_id").alias("__id"), F.col("x.tag").alias("__tag")).agg(F.collect_list(F.struct("gram", "n", "hot", "x.first", "x.strings", "x.at")).alias("list"))
     texts = rows.join(by_doc, rows.doc_id.eqNullSafe(F.col("__id")) & (rows.tag == F.col("__tag")))
     held = texts.select("doc_id", "tag", "text", F.explode("list").alias("c"))
     body = F.substring(F.col("text").cast("binary"), F.col("c.first").cast("int") + 1, F.col("c.strings") + LENGTH - 1)
     held = held.select(F.col("c.gram").alias("gram"), "doc_id", "tag", F.col("c.first").alias("first"), F.col("c.strings").alias("strings"), F.col("c.at").alias("at"), F.col("c.n").alias("n"), body.alias("bytes"), F.col("c.hot").alias("hot"))
-    if not distinct.where("hot").limit(1).count():
+    if not crowded:
         by = held.drop("hot").repartition("gram").sortWithinPartitions("gram")
         return mark(kept.where("uniform")).unionByName(mark(several)).unionByName(by.mapInArrow(sorted_stretches, MARK))
     held = materialise(held, "context_bytes")
