@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from palisade.functions import text as tx
+from palisade.operators.detectors import let
 
 
 def feed(records: DataFrame) -> DataFrame:
@@ -19,8 +20,12 @@ def feed(records: DataFrame) -> DataFrame:
 
 def ngrams(words: Column) -> Column:
     """Distinct runs of two and three words."""
-    of = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(of(2), of(3)))
+
+    def of(w: Column) -> Column:
+        runs = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(runs(2), runs(3)))
+
+    return let(words, of)  # split once, not once a run
 
 
 def ngram_support(texts: DataFrame, k: int = 50, low: float = 0.03, high: float = 0.5) -> DataFrame:
