@@ -69,12 +69,18 @@ def plain_command(command: str) -> str:
     return re.sub(r"(\w)(?:''|\"\")(?=\w)", r"\1", out).replace("\\\n", "")
 
 
-def strings(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
+def arrow_strings(f: Callable[[str], str | None]):  # noqa: ANN201
+    """f over batches of strings, as an Arrow function; null stays null."""
+
     def batch(s: pd.Series) -> pd.Series:
         return s.map(f, na_action="ignore")
 
     batch.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return lambda c: F.pandas_udf(batch, StringType())(c)
+    return F.pandas_udf(batch, StringType())
+
+
+def strings(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    return lambda c: arrow_strings(f)(c)
 
 
 deep_text_column, canonical_column, plain_command_column = strings(deep_text), strings(canonical), strings(plain_command)

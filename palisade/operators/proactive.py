@@ -115,7 +115,9 @@ def grammar(text: str) -> float:
     return min(1.0, 0.6 * tight + 0.2 * full + (0.15 if len(gaps) >= 3 else 0.08 if len(gaps) >= 2 else 0.0) + 0.1)
 
 
-def column_of(f: Callable[[str], float]) -> Callable[[Column], Column]:
+def arrow_scores(f: Callable[[str], float]):  # noqa: ANN201
+    """f over batches of texts, as an Arrow function; null counts as empty."""
+
     def batch(s: pd.Series) -> pd.Series:
         return s.fillna("").map(f).astype(float)
 
@@ -127,7 +129,7 @@ def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with stylometric, temporal, grammar and their composite; texts of fewer than 80 characters score 0 unseen."""
     t = F.col(text)
     seen = F.when(F.length(t) >= 80, t)
-    out = docs.withColumns({"stylometric": column_of(stylometric)(seen), "temporal": column_of(temporal)(seen), "grammar": column_of(grammar)(seen)})
+    out = docs.withColumns({"stylometric": arrow_scores(stylometric)(seen), "temporal": arrow_scores(temporal)(seen), "grammar": arrow_scores(grammar)(seen)})
     flags = (F.col("stylometric") > 0.35).cast("int") + (F.col("temporal") > 0.30).cast("int") + (F.col("grammar") > 0.35).cast("int")
     base = (0.20 * F.col("stylometric") + 0.20 * F.col("temporal") + 0.15 * F.col("grammar")) / 0.55
     return out.withColumn("proactive", F.least(F.lit(1.0), base + F.when(flags >= 3, 0.15).when(flags >= 2, 0.08).otherwise(0.0)))
