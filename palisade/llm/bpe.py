@@ -35,6 +35,10 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Arcs and words (in each of two generations) that are kept: some 80 MB.
+MOST_ARCS, MOST_WORDS = 300_000, 120_000
+
+
 class Automaton:
     """Compiled merges. Tokens are ids; `labels` holds their bytes."""
 
@@ -78,7 +82,8 @@ class Automaton:
                 node = self.next[node][b]
                 best = self.token[node] if self.token[node] >= 0 else best
             self.begin[label] = (node, best)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        #: last token << 32 | token -> whether the arc is there.
+        self.arcs: dict[int, bool] = {}
 
     def reads(self, last: int, token: int) -> bool:
         """Whether the state after `last` has an arc `token`."""
@@ -127,12 +132,12 @@ class Automaton:
                     if at + size[t] not in dead:
                         if not out:
                             break
-                        pair = (out[-1], t)
+                        pair = out[-1] << 32 | t
                         ok = arcs.get(pair)
                         if ok is None:
-                            if len(arcs) > 1_000_000:
+                            if len(arcs) > MOST_ARCS:
                                 arcs.clear()
-                            ok = arcs[pair] = self.reads(*pair)
+                            ok = arcs[pair] = self.reads(out[-1], t)
                         if ok:
                             break
                     t = shorter[t]
@@ -176,7 +181,7 @@ class Codec:
     """Encodes texts and decodes ids. Words met lately keep their ids, in two generations of `most` words: when the younger is
     full it becomes the older one, and what the older one held is forgotten."""
 
-    def __init__(self, automaton: Automaton, most: int = 250_000) -> None:
+    def __init__(self, automaton: Automaton, most: int = MOST_WORDS) -> None:
         self.automaton, self.most = automaton, most
         self.general, self.listed = regex.compile(PATTERN), listed_pattern()
         self.is_listed = re.compile(f"[\x00-{chr(LISTED - 1)}]*").fullmatch

@@ -98,7 +98,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a piece has one row, or `most` bytes of text at most: bounds the memory of array code."""
     for batch in batches:
         _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
@@ -154,7 +154,7 @@ class Hasher:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         if len(self.up) < len(data) + 1:
-            n = max(len(data) + 1, 1 << 20)
+            n = max(len(data) + 1, 1 << 18)
             self.up, self.down = powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
         out = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_CODES[data] * self.up[: len(data)], out=out[1:])

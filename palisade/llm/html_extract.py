@@ -270,7 +270,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, paths = known.value, {}
-        for batch in chunks(batches, "html"):
+        for batch in chunks(batches, "html", 1 << 20):
             found = main_texts(batch.column(2).to_pylist(), weights, paths)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

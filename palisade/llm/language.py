@@ -57,7 +57,7 @@ class Model:
         """For each order, code -> place among grams + 1, or 0."""
         out = []
         for n in ORDERS:
-            table = np.zeros(1 << 6 * n, np.int32)
+            table = np.zeros(1 << 6 * n, np.int16 if len(self.grams) < 1 << 15 else np.int32)
             own = np.flatnonzero(self.grams >> np.uint32(24) == n)
             table[self.grams[own] & np.uint32(0xFFFFFF)] = own + 1
             out.append(table)

@@ -115,7 +115,7 @@ def excesses(data: np.ndarray, offsets: np.ndarray, model: Model, table: np.ndar
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, clean) of (text, toxic): documents that hold a feature, added up over a piece."""
     hasher = Hasher()
-    for batch in chunks(batches, "text", 1 << 22):
+    for batch in chunks(batches, "text", 1 << 20):
         data, offsets = utf8(batch.column(0))
         toxic = np.array(batch.column(1).to_pylist(), np.int64)
         own, firsts = features(data, offsets, hasher)
