@@ -25,8 +25,8 @@ PERCENT = 75
 BANDS, ROWS = 40, 3
 #: MinHash samples and bits of an odd sketch.
 SAMPLES, BITS = 1024, 2048
-#: Members of a meeting, and shingles of a cluster, that one task takes.
-MEETING, CLUSTER = 2048, 4_000_000
+#: Members of a meeting, and shingles of a cluster, that a chunk holds; a chunk has a member at least.
+MEETING, CLUSTER = 2048, 200_000
 
 
 # ---------------------------------------------------------------- sketches
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     clusters = materialise(components(by.mapInArrow(meetings(most_bits(percent)), edges_shape)), "clusters")
     drop_table(met)
 
-    sizes = clusters.join(sets.select("node", "n"), "node").groupBy("root").agg(F.ceil(F.sum("n") / cluster).alias("__c"), F.count(F.lit(1)).alias("members"))
+    sizes = clusters.join(sets.select("node", "n"), "node").groupBy("root").agg(F.least(F.ceil(F.sum("n") / cluster), F.count(F.lit(1))).alias("__c"), F.count(F.lit(1)).alias("members"))
     own = lookup(clusters, materialise(sizes, "sizes"), "root", "members", clusters.count())
     held = in_blocks(own.join(sets.select("node", "n", "shingles"), "node"), "root", "__c", ["node", "n", "shingles"])
     by = held.repartition("key", "block").sortWithinPartitions("key", "block")
