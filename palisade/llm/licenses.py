@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over the words of a text.
 
 A text is reduced to its lower-case words. A rule has a keyword, a pattern over words, a label, a priority and a confidence.
-Only rules whose keyword is in the text are tried. Of overlapping detections, one that lies within another of the same or a
+Only rules whose gate, a literal that every match of them holds, is in the text are tried. Of overlapping detections, one that lies within another of the same or a
 higher priority is dropped; equal ones fall to the earlier rule. Only built-in functions run, row by row, without a shuffle.
 """
 
@@ -128,11 +128,49 @@ WAYS = (
 MENTION = (1, 0.5)
 
 
+def spellings(pattern: str) -> list[str]:
+    """All texts that a pattern of the rules matches; it has letters, sets of letters, groups, alternatives and ? only."""
+
+    def one_of(at: int) -> tuple[list[str], int]:
+        found, now = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                found, now, at = found + now, [""], at + 1
+                continue
+            if pattern.startswith(("(?!", "(?=", "(?<="), at):  # looks around add no text
+                at = pattern.index(")", at) + 1
+                continue
+            if pattern[at] == "(":
+                part, at = one_of(at + (3 if pattern.startswith("(?:", at) else 1))
+                at += 1
+            elif pattern[at] == "[":
+                part, at = list(pattern[at + 1 : pattern.index("]", at)]), pattern.index("]", at) + 1
+            else:
+                part, at = [pattern[at]], at + 1
+            if pattern.startswith("?", at):
+                part, at = [*part, ""], at + 1
+            now = [a + b for a in now for b in part]
+        return found + now, at
+
+    return list(dict.fromkeys(one_of(0)[0]))
+
+
+def gate(keyword: str, pattern: str) -> str:
+    """The keyword as a word, the start of one, or any letters: the narrowest that stands in all that the pattern matches."""
+    texts = [f" {x} " for x in spellings(pattern)]
+    for literal in (f" {keyword} ", f" {keyword}", keyword):
+        if all(literal in x for x in texts):
+            return literal
+    raise ValueError(f"{keyword} isn't in all of {pattern}")
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, confidence), in order: of equal detections the first rule's stays."""
-    out = [(label, keyword, rf"(?<= ){p}(?= )", priority, sure) for label, keyword, p, priority, sure in SENTENCES]
-    out += [(label, "license" if "{0}" not in way else keyword, rf"(?<= ){way.format(name, spdx)}(?= )", priority, sure) for label, keyword, name, spdx in LICENSES for way, priority, sure in WAYS]
-    out += [(label, keyword, rf"(?<= ){name}(?= )", *MENTION) for label, keyword, name, _ in LICENSES if " " in name.replace("(?: ", "")]
+    """(label, gate, pattern, priority, confidence), in order: of equal detections the first rule's stays."""
+    out = [(label, gate(keyword, p), rf"(?<= ){p}(?= )", priority, sure) for label, keyword, p, priority, sure in SENTENCES]
+    own = [(label, gate(keyword, name), name, spdx) for label, keyword, name, spdx in LICENSES]
+    # A name stands between spaces in each way.
+    out += [(label, " license " if "{0}" not in way else literal, rf"(?<= ){way.format(name, spdx)}(?= )", priority, sure) for label, literal, name, spdx in own for way, priority, sure in WAYS]
+    out += [(label, literal, rf"(?<= ){name}(?= )", *MENTION) for label, literal, name, _ in own if " " in name.replace("(?: ", "")]
     return out
 
 
@@ -167,10 +205,10 @@ DETECTION = "struct<start:int,back:int,rank:int,rule:int,end:int,label:string,su
 
 def detections(line: Column, own: list[tuple[str, str, str, int, float]]) -> Column:
     """All rules' detections, sorted by start, longest first, higher priority first, earlier rule first."""
-    by_keyword: dict[str, list[Column]] = {}
-    for k, (label, keyword, pattern, priority, sure) in enumerate(own):
-        by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(sure).alias("sure"), F.lit(k).alias("k")))
-    gated = [F.when(F.contains(line, F.lit(f" {keyword} ")), F.array(*r)).otherwise(F.array().cast("array<struct<label:string,pattern:string,priority:int,sure:double,k:int>>")) for keyword, r in by_keyword.items()]
+    by_gate: dict[str, list[Column]] = {}
+    for k, (label, literal, pattern, priority, sure) in enumerate(own):
+        by_gate.setdefault(literal, []).append(F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(sure).alias("sure"), F.lit(k).alias("k")))
+    gated = [F.when(F.contains(line, F.lit(literal)), F.array(*r)).otherwise(F.array().cast("array<struct<label:string,pattern:string,priority:int,sure:double,k:int>>")) for literal, r in by_gate.items()]
 
     def apply(r: Column) -> Column:
         fields = lambda m, s, e: F.struct(s.cast("int").alias("start"), (-e).cast("int").alias("back"), (-r["priority"]).alias("rank"), r["k"].alias("rule"), e.cast("int").alias("end"), r["label"].alias("label"), r["sure"].alias("sure"))
@@ -194,8 +232,8 @@ def surviving(found: Column) -> Column:
     return F.aggregate(found, start, step)
 
 
-#: Words without which no rule and no phrase can match: a cheap first gate.
-GATE = ("licen", "cc by", "cc0", "public domain", "gpl", "creative commons", "mozilla public", "eclipse", "apache", "bsd", "redistribution", "permission", "unencumbered", "altered source", "rights reserved", "proprietary and", "same terms as perl", "mulan", "python software", "php", "later version", "ncsa", "cddl", "w3c software", "mpl", "pddl", "mit x11", "mit no", "mit 0", "libpng")
+#: Each text that a rule or phrase matches holds one of these: a cheap first gate. A test holds it against all spellings.
+GATE = ("licen", "released under ", "distributed under ", "available under ", "published under ", "provided under ", " to you under ", "cc by", "cc0", "public domain", "gpl", "creative commons", "mozilla public", "eclipse", "apache", "bsd", "redistribution", "permission", "unencumbered", "altered source", "rights reserved", "proprietary and", "same terms as perl", "mulan", "python software", "php", "later version", "ncsa", "cddl", "w3c software", "mpl", "pddl", "mit x11", "mit no", "mit 0", "libpng")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +246,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), word_line(text_or_empty(text_col)).alias("line"))
     line = F.col("line")
-    gate = reduce(lambda a, b: a | b, [F.contains(line, F.lit(g)) for g in GATE])
+    touched = reduce(lambda a, b: a | b, [F.contains(line, F.lit(g)) for g in GATE])
     empty = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sure"))
 
     def result(s: Column) -> Column:
@@ -216,7 +254,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return F.struct(base_places(s["line"]).alias("base"), found.alias("found"))
 
     none = F.struct(F.array().cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>").alias("base"), empty.alias("found"))
-    both = F.when(gate, let(F.struct(line.alias("line")), result)).otherwise(none)
+    both = F.when(touched, let(F.struct(line.alias("line")), result)).otherwise(none)
     rows = rows.select("doc_id", F.greatest(spaces(line) - 1, F.lit(0).cast("long")).alias("n_words"), both.alias("r"))
     base = F.filter("r.base", lambda b: b["n"] > 0)
     base_labels = F.array_sort(F.array_distinct(F.transform(base, lambda b: b["label"])))

@@ -93,3 +93,38 @@ def test_battery_tells_random_from_text(spark):
     df = spark.createDataFrame([(t, k) for k, own in enumerate((keys, words)) for t in own], "t string, k int")
     p = {k: sorted(r.p for r in df.where(f"k = {k}").select(secrets.battery(F.col("t")).alias("p")).collect()) for k in (0, 1)}
     assert p[0][6] > 0.01 and p[1][-1] < 1e-4
+
+
+def ungated(line):
+    """(labels, n, sure) of all rules on a word line, each tried on it."""
+    import re
+
+    found = [(m.start(), -m.end(), -priority, k, label, sure) for k, (label, _, pattern, priority, sure) in enumerate(licenses.rules()) for m in re.finditer(pattern, line)]
+    labels, n, most, held = set(), 0, 0.0, []
+    for start, back, rank, _, label, sure in sorted(found):
+        if not any(b <= back and r <= rank for b, r in held):
+            labels.add(label)
+            n, most = n + 1, max(most, sure)
+        held.append((back, rank))
+    return labels, n, most
+
+
+def test_gates_stand_in_all_that_rules_match():
+    for _, literal, pattern, _, _ in licenses.rules():
+        for x in licenses.spellings(pattern):
+            assert literal in f" {x} " and any(g in f" {x} " for g in licenses.GATE), (pattern, x)
+    for phrase in licenses.BASE:
+        assert any(g in f" {phrase} " for g in licenses.GATE)
+
+
+def test_gated_licenses_equal_ungated(spark):
+    """A text for each rule's first and last spelling, each name's spellings, and each way's."""
+    texts = [x for r in licenses.rules() for x in (licenses.spellings(r[2])[0], licenses.spellings(r[2])[-1])]
+    texts += [f"released under {x}" for _, _, name, _ in licenses.LICENSES for x in licenses.spellings(name)]
+    texts += [x for way, _, _ in licenses.WAYS for x in licenses.spellings(way.format("isc", "isc"))]
+    texts = list(dict.fromkeys(texts + ["Released under MIT", "distributed under the zlib", "available under WTFPL", "AGPLv3 license", "licensed under LGPLv3", "MPL2 license", "license: GPL2", "FreeBSD license", "MulanPSL license"]))
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(k, x, None, None, 0, None, 0.0) for k, x in enumerate(texts)])).collect()}
+    for k, x in enumerate(texts):
+        labels, n, sure = ungated(" " + " ".join(plain.WORD.findall(x.translate(plain.UPPER))) + " ")
+        base = set(filter(None, got[k].base_labels.split(",")))
+        assert (set(got[k].labels.split(",")), got[k].n_detections, got[k].score) == (labels | base, n, 1.0 if base else sure) and n, x
