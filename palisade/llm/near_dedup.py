@@ -223,7 +223,8 @@ def in_blocks(members: DataFrame, key: str, chunks_of: str, columns: list[str])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING, cluster: int = CLUSTER) -> DataFrame:
-    """doc_id, n_shingles, component_id, tag, kept: a row for each of docs; tag is xxhash64 of the text.
+    """doc_id, n_shingles, component_id, tag, root, kept: a row for each of docs; tag is xxhash64 of the text, root the
+    component's own key (null without shingles), as components without an id, or with one id, are still different ones.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Rows with equal sets are
     linked, however many. Rows that share an id keep their own sets; the smallest id of a component stands for it. A row
@@ -260,17 +261,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     ids = materialise(nodes.select("node", "size", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "ids")
     least = materialise(ids.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
-    named = materialise(lookup(ids, least, "root", "members", ids.count()).select("node", "size", "component_id"), "named")
+    named = materialise(lookup(ids, least, "root", "members", ids.count()).select("node", "size", "component_id", "root"), "named")
     total = signed.count()
-    out = lookup(real.select("doc_id", "n", "node", "tag"), named, "node", "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "tag")
-    alone = signed.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "tag")
+    out = lookup(real.select("doc_id", "n", "node", "tag"), named, "node", "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "tag", "root")
+    alone = signed.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "tag", F.lit(None).cast("binary").alias("root"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stay: one of each component, and all without shingles."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept")
-    one = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select("x.doc_id", "x.tag")
+    one = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select("x.doc_id", "x.tag")
     stay = one.unionByName(found.where("n_shingles = 0").select("doc_id", "tag").distinct()).select(F.col("doc_id").alias("__id"), F.coalesce("tag", F.lit(0).cast("long")).alias("__tag"))
     # Nulls have a tag of their own.
     tag = F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long"))
@@ -278,4 +279,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tag")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tag", "root")

@@ -137,3 +137,29 @@ def _kept(rows):
     import re
 
     return [by[i, plain.sha(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""))] for i, t in rows]
+
+
+def unrelated(n, seed=9):
+    """Texts that share no word."""
+    rnd = random.Random(seed)
+    return [" ".join(f"t{k}x{rnd.randint(0, 10**6)}" for _ in range(30)) for k in range(n)]
+
+
+def test_components_without_an_id_or_with_one_id_stay_apart(spark):
+    texts = unrelated(8)
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0] + " more"), (None, None), (None, " ")]
+    rows += [(3, texts[5]), (3, texts[6]), (4, texts[5]), (5, texts[6]), (3, texts[6] + " more"), (6, texts[7])]
+    got = near_dedup.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    own = lambda word: [(r.doc_id, r.text) for r in got if r.text and r.text.startswith(word)]
+    assert all(own(f"t{k}x") == [(None, texts[k])] for k in range(1, 5))
+    assert len(own("t0x")) == 1 and own("t5x") == [(3, texts[5])] and len(own("t6x")) == 1 and own("t7x") == [(6, texts[7])]
+    assert own("t6x")[0][0] == 3 and len(got) == 10
+
+
+def test_pipeline_keeps_texts_without_an_id(spark, tmp_path):
+    texts = unrelated(6)
+    rows = [(None, t, "aa") for t in texts[:4]] + [(7, texts[4], "bb"), (7, texts[5], "bb")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.decoded_sha256 for r in got) == sorted(map(plain.sha, texts))
