@@ -71,14 +71,15 @@ def path_vector(above: np.ndarray, tag: str, names: str, depth: int) -> np.ndarr
     return out
 
 
-def blocks(page: str, known: dict) -> list[Block]:
-    """The leaf blocks of a page in order; known: keeps the vectors of paths met before.
+def blocks(page: str, known: dict, most_paths: int = 20_000) -> list[Block]:
+    """The leaf blocks of a page in order; known: keeps the vectors of whole paths met before.
 
     Text outside any tag counts; what scripts, styles, titles and comments hold doesn't. Unclosed and stray tags are
     mended roughly as browsers do; a page cut off in the middle is read to its end.
     """
-    root = known.setdefault((), np.zeros(WIDTH - WORD_HASH - SHAPE, np.float32))
-    stack: list[tuple[str, tuple, np.ndarray]] = [("", (), root)]
+    # Each path has a number of its own, which isn't given again when the paths are cleared.
+    known.setdefault("last", 0)
+    stack: list[tuple[str, int, np.ndarray]] = [("", 0, np.zeros(WIDTH - WORD_HASH - SHAPE, np.float32))]
     out: list[Block] = []
     parts: list[str] = []
     linked, in_link, at, n = 0, False, 0, len(page)
@@ -150,13 +151,15 @@ def blocks(page: str, known: dict) -> list[Block]:
         if len(stack) > 400:
             continue  # deeper elements count as this one
         names = " ".join(a or b or c for a, b, c in NAMES.findall(m[3] or m[6] or ""))
-        key = (*stack[-1][1][-7:], (tag, names))
-        vector = known.get(key)
-        if vector is None:
-            if len(known) > 20_000:
+        key = (stack[-1][1], tag, names)
+        path = known.get(key)
+        if path is None:
+            last = known["last"] + 1
+            if len(known) > most_paths:
                 known.clear()
-            vector = known[key] = path_vector(stack[-1][2], tag, names, len(stack)).astype(np.float32)
-        stack.append((tag, key, vector))
+            known["last"] = last
+            path = known[key] = (last, path_vector(stack[-1][2], tag, names, len(stack)).astype(np.float32))
+        stack.append((tag, *path))
     end()
     return out
 

@@ -163,3 +163,18 @@ def test_html_blocks_survive_broken_pages():
         assert all(b.text == " ".join(b.text.split()) for b in found)
     assert [b.text for b in html_extract.blocks("<table><tr><td>1<td>2<tr><td>3", {})] == ["1", "2", "3"]
     assert [b.text for b in html_extract.blocks("<p title='a>b'>c&lt;</p>", {})] == [html_lib.unescape("c&lt;")]
+
+
+def test_html_paths_of_deep_blocks_are_whole():
+    """Blocks whose last nine elements agree have vectors of their own, whatever page came before, and when paths are cleared."""
+    page = lambda name: f"<div class='{name}'>" + "<div>" * 9 + "x" + "</div>" * 10
+    names = ["article", "comments", "aside sidebar", "article"]
+    alone = [html_extract.blocks(page(n), {})[0].path for n in names]
+    assert not (alone[0] == alone[1]).all() and not (alone[1] == alone[2]).all()
+    for most in (20_000, 5, 1):
+        for order in ([0, 1, 2, 3], [2, 1, 0, 3]):
+            known = {}
+            for k in order:
+                assert (html_extract.blocks(page(names[k]), known, most)[0].path == alone[k]).all()
+    both = html_extract.blocks("".join(map(page, names)), {})
+    assert all((b.path == v).all() for b, v in zip(both, alone, strict=True))
