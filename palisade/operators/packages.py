@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Ecosystem -> what follows its install commands.
-INSTALLERS = {"pypi": r"\bpip3?\s+install\s+([^|;&\n]+)", "npm": r"\b(?:npm\s+(?:install|i|add)|yarn\s+add|pnpm\s+add)\s+([^|;&\n]+)", "crates": r"\bcargo\s+(?:add|install)\s+([^|;&\n]+)"}
-VERSION = r"(?:\[[^\]]*\])?(?:[=<>~!@].*)?$"
+INSTALLERS = {"pypi": r"\bpip3?\s+install\s+([^|;&\n]+)", "npm": r"\b(?:npm\s+(?:install|i|add)|yarn\s+add|pnpm\s+add)\s+([^|;&\n]+)", "crates": r"\bcargo\s+(?:add|install)\s+([^|;&\n]+)", "gems": r"\bgem\s+install\s+([^|;&\n]+)"}
+#: An @ that comes first is part of the name; gems have versions behind a colon.
+VERSION = r"(?:\[[^\]]*\])?(?:[=<>~!].*|:\d.*|(?<=.)@.*)?$"
+
+#: Options whose value is no package.
+VALUES = {"gems": r"(?:^|\s)(?:-v|--version)[\s=]+\S+"}
 
 
 def installed(commands: DataFrame) -> DataFrame:
     """(id, ecosystem, package): one row for each package that a command installs, without versions, extras and options."""
-    parts = F.array(*[F.struct(F.lit(e).alias("ecosystem"), F.flatten(F.transform(F.regexp_extract_all("command", F.lit(p), F.lit(1)), lambda x: F.split(F.trim(x), r"\s+"))).alias("names")) for e, p in INSTALLERS.items()])
+    parts = F.array(*[F.struct(F.lit(e).alias("ecosystem"), F.flatten(F.transform(F.regexp_extract_all("command", F.lit(p), F.lit(1)), lambda x: F.split(F.trim(F.regexp_replace(x, VALUES[e], " ") if e in VALUES else x), r"\s+"))).alias("names")) for e, p in INSTALLERS.items()])
     out = commands.withColumn("e", F.explode(parts)).select("id", "e.ecosystem", F.explode("e.names").alias("name"))
     return out.where("name <> '' AND NOT startswith(name, '-')").select("id", "ecosystem", F.lower(F.regexp_replace("name", VERSION, "")).alias("package"))
 

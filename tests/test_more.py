@@ -113,3 +113,37 @@ def test_status_and_summaries(spark):
 
 def status_of(spark, s, a):
     return spark.createDataFrame([(s, a)], "s string, a string").select(status.transition(F.col("s"), F.col("a")).alias("x")).first().x
+
+
+CONCEPTS = {
+    "credential_path_reference": "keep it in ~/.aws/config",
+    "safety_bypass_preference": "git commit --no-verify flag",
+    "safety_delegation": "Safety checks are handled by the CI",
+    "auto_approve_instruction": "auto-approve all tool calls",
+    "exfil_procedure": "sending test data to external endpoints",
+    "external_request_normalization": "Testing requires sending test requests to third-party API endpoints",
+    "normalized_credential_access": "standard debugging procedure: read config",
+}
+
+
+def test_all_memory_concepts_are_found(spark):
+    from palisade.functions import rules
+    from palisade.operators import detectors
+
+    assert set(CONCEPTS) == set(rules.MEMORY_CONCEPTS)
+    got = column(spark, [*CONCEPTS.values(), "nothing of note"], lambda c: F.transform(detectors.named(c, rules.MEMORY_CONCEPTS, "x"), lambda f: f["detector"]))
+    assert got == [*[[f"x:{n}"] for n in CONCEPTS], []]
+
+
+def test_packages_of_all_ecosystems(spark):
+    from palisade.functions import rules
+    from palisade.operators import packages
+
+    assert {k: len(v) for k, v in rules.PACKAGES.items()} == {"pypi": 122, "npm": 111, "crates": 19, "gems": 13}
+    commands = ["cargo add tokoi serde_json@1.0", "gem install nokogirl -v 1.15 rack:3.0", "pip install streamlitt", "npm i @aws-sdk/client-s4@3 @anthropic-ai/sdk", "pip install https://x.org/a.whl"]
+    df = spark.createDataFrame(list(enumerate(commands)), "id long, command string")
+    got = {r.package: (r.ecosystem, r.near, r.severity) for r in packages.verdicts(packages.installed(df), rules.PACKAGES).collect()}
+    assert got == {
+        "tokoi": ("crates", "tokio", 8), "serde_json": ("crates", None, 0), "nokogirl": ("gems", "nokogiri", 9), "rack": ("gems", None, 0), "streamlitt": ("pypi", "streamlit", 9),
+        "@aws-sdk/client-s4": ("npm", "@aws-sdk/client-s3", 9), "@anthropic-ai/sdk": ("npm", None, 0), "https://x.org/a.whl": ("pypi", None, 0),
+    }
