@@ -101,11 +101,11 @@ def hidden_findings(html: Column) -> Column:
 
 
 def decoded_texts(text: Column, depth: int = 3) -> Column:
-    """What base64, hex and percent runs decode to, and what those hold in turn, to a depth; the text in ROT13 comes last."""
+    """What base64, hex, percent, UTF-7 and quoted-printable runs decode to, and what those hold in turn, to a depth; the text in ROT13 comes last."""
     level = F.array(text)
     found = F.array().cast("array<string>")
     for _ in range(depth):
-        level = F.flatten(F.transform(level, lambda t: F.concat(tx.base64_payloads(t), tx.hex_payloads(t), tx.url_payloads(t))))
+        level = F.flatten(F.transform(level, lambda t: F.concat(tx.base64_payloads(t), tx.hex_payloads(t), tx.url_payloads(t), tx.utf7_payloads(t), tx.quoted_printable_payloads(t))))
         found = F.concat(found, level)
     return F.concat(F.array_distinct(found), F.array(tx.rot13(text)))
 
