@@ -6,8 +6,11 @@ can no longer be read, and an arc w, which leads where v led after u, is added t
 copy is kept as its difference from the state that it copies: arcs removed at some step, on top of the older state. A state
 therefore depends on the last token only, and looking up an arc walks the differences; what is found is kept in a table.
 
-Every prefix of a word has one tokenization, and so has a whole word: any path of the automaton that spells it is the one.
-Encoding follows such arcs by tables; decoding emits the bytes on their labels.
+For encoding, each arc is spelled out in bytes, and the automaton is made deterministic over bytes by subsets: a state is the
+set of arcs that are begun but not ended, each with the token before it. Every prefix of a word has one tokenization, so at most
+one arc ends at each byte: that token is the state's output. A word is read left to right, a byte a step and never back; the
+outputs, read from its end, are its tokens. The words of a piece of text take their steps together, by look-ups in tables that
+are arrays; a long word takes them alone. Decoding emits the bytes on the arcs' labels.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +39,10 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-#: Arcs and words (in each of two generations) that are kept: some 80 MB.
-MOST_ARCS, MOST_WORDS = 300_000, 120_000
+#: Arcs that are kept, and words (in each of two generations): some 60 MB.
+MOST_ARCS, MOST_WORDS = 400_000, 120_000
+#: Words that step together, and the bytes beyond which a word steps alone.
+TOGETHER, LONG = 20_000, 64
 
 
 class Automaton:
@@ -58,32 +64,30 @@ class Automaton:
             self.removed.setdefault(u, {})[v] = step
             if w not in self.born:
                 self.born[w], self.left[w], self.right[w] = step, u, v
-        #: Token of a word that is one token; bytes of a token; the longest token that begins it.
-        self.whole = {labels[t]: t for t in self.born}
-        self.size = {t: len(labels[t]) for t in self.born}
-        self.shorter = {t: next((self.whole[labels[t][:k]] for k in range(len(labels[t]) - 1, 0, -1) if labels[t][:k] in self.whole), -1) for t in self.born}
-        #: Byte tables: node -> byte -> node of a prefix tree; node -> the token that ends there.
-        self.next: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
+        #: The tokens spelled out as a prefix tree of bytes: sorted (node << 8 | byte) with the node after it; per node, the
+        #: token that ends there (or -1) and whether it goes on. Per token, its bytes.
+        step: dict[int, int] = {}
+        token = [-1]
         for t in self.born:
             node = 0
             for b in labels[t]:
-                if b not in self.next[node]:
-                    self.next[node][b] = len(self.next)
-                    self.next.append({})
-                    self.token.append(-1)
-                node = self.next[node][b]
-            self.token[node] = t
-        #: Three bytes that begin a token -> their node and the longest token within them.
-        self.begin: dict[bytes, tuple[int, int]] = {}
-        for label in {labels[t][:3] for t in self.born if len(labels[t]) >= 3}:
-            node, best = 0, -1
-            for b in label:
-                node = self.next[node][b]
-                best = self.token[node] if self.token[node] >= 0 else best
-            self.begin[label] = (node, best)
-        #: last token << 32 | token -> whether the arc is there.
-        self.arcs: dict[int, bool] = {}
+                after = step.setdefault(node << 8 | b, len(token))
+                if after == len(token):
+                    token.append(-1)
+                node = after
+            token[node] = t
+        self.keys = np.array(sorted(step), np.int64)
+        self.after = np.array([step[k] for k in self.keys.tolist()], np.int64)
+        self.token = np.array(token, np.int64)
+        self.inner = np.zeros(len(token), bool)
+        self.inner[self.keys >> 8] = True
+        self.size = np.zeros(max(labels) + 1, np.int64)
+        self.size[list(self.born)] = [len(labels[t]) for t in self.born]
+        self.clear()
+
+    def clear(self) -> None:
+        #: Arcs asked for: sorted (last token << 32 | token), and whether they are there.
+        self.arcs, self.there = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def reads(self, last: int, token: int) -> bool:
         """Whether the state after `last` has an arc `token`."""
@@ -104,54 +108,92 @@ class Automaton:
             # A merged token's state began as the state after its right part, at that step.
             until, state = min(until, self.born[state]), self.right[state]
 
-    def word(self, data: bytes) -> list[int]:
-        """The tokens of one pre-split word.
-
-        Reads the longest arc first and steps back where the automaton goes no further. A place that is reached has one
-        token sequence before it, so a place from which the end can't be reached is never tried again.
-        """
-        n = len(data)
-        whole = self.whole.get(data)
-        if whole is not None:
-            return [whole]
-        arcs, follow, token, size, shorter, begin = self.arcs, self.next, self.token, self.size, self.shorter, self.begin
-        out: list[int] = []
-        dead: set[int] = set()
-        at = 0
-        while at < n:
-            # The longest token from here.
-            node, t = begin.get(data[at : at + 3], (0, -1))
-            for b in data[at + 3 :] if node else data[at:]:
-                node = follow[node].get(b)
-                if node is None:
-                    break
-                if token[node] >= 0:
-                    t = token[node]
-            while True:
-                while t >= 0:
-                    if at + size[t] not in dead:
-                        if not out:
-                            break
-                        pair = out[-1] << 32 | t
-                        ok = arcs.get(pair)
-                        if ok is None:
-                            if len(arcs) > MOST_ARCS:
-                                arcs.clear()
-                            ok = arcs[pair] = self.reads(out[-1], t)
-                        if ok:
-                            break
-                    t = shorter[t]
-                if t >= 0:
-                    out.append(t)
-                    at += size[t]
-                    break
-                if not out:
-                    raise ValueError(f"no token sequence for {data!r}: the vocabulary lacks a byte")
-                dead.add(at)
-                t = out.pop()
-                at -= size[t]
-                t = shorter[t]
-        return out
+    def arcs_there(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """reads() of pairs; each is worked out once."""
+        pair = last << 32 | token
+        for _ in range(2):
+            place = np.minimum(np.searchsorted(self.arcs, pair), max(len(self.arcs) - 1, 0))
+            known = self.arcs[place] == pair if len(self.arcs) else np.zeros(len(pair), bool)
+            if known.all():
+                return self.there[place] if len(pair) else known
+            new = np.unique(pair[~known])
+            if len(self.arcs) + len(new) > MOST_ARCS:
+                self.clear()
+                new = np.unique(pair)
+            found = np.array([self.reads(x >> 32, x & 0xFFFFFFFF) for x in new.tolist()], bool)
+            keys = np.concatenate([self.arcs, new])
+            order = np.argsort(keys, kind="stable")
+            self.arcs, self.there = keys[order], np.concatenate([self.there, found])[order]
+        raise AssertionError("arcs are known by now")
+
+    def words(self, many: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit integers; one byte of all words a step."""
+        n = np.array([len(w) for w in many], np.int64)
+        first = np.cumsum(n) - n
+        data = np.frombuffer(b"".join(many), np.uint8).astype(np.int64)
+        output = np.full(len(data), -1, np.int64)
+        word, last, node = np.arange(len(many)), np.full(len(many), -1, np.int64), np.zeros(len(many), np.int64)
+        for k in range(int(n.max(initial=0))):
+            on = n[word] > k
+            word, last, node = word[on], last[on], node[on]
+            key = node << 8 | data[first[word] + k]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[place] == key
+            word, last, node = word[on], last[on], self.after[place[on]]
+            token = self.token[node]
+            at = np.flatnonzero(token >= 0)
+            asked = at[last[at] >= 0]
+            ends = np.concatenate([at[last[at] < 0], asked[self.arcs_there(last[asked], token[asked])]])
+            output[first[word[ends]] + k] = token[ends]
+            on = self.inner[node]
+            word, last, node = np.concatenate([word[on], word[ends]]), np.concatenate([last[on], token[ends]]), np.concatenate([node[on], np.zeros(len(ends), np.int64)])
+        # The outputs from each word's end on.
+        word, left, parts = np.flatnonzero(n), n[n > 0], []
+        while len(word):
+            t = output[first[word] + left - 1]
+            if (t < 0).any():
+                raise ValueError(f"no token sequence for {many[word[np.argmin(t)]]!r}: the vocabulary lacks a byte")
+            parts.append((word, t))
+            left = left - self.size[t]
+            word, left = word[left > 0], left[left > 0]
+        if not parts:
+            return [b""] * len(many)
+        owner, found = np.concatenate([w for w, _ in parts[::-1]]), np.concatenate([t for _, t in parts[::-1]])
+        order = np.argsort(owner, kind="stable")
+        packed, ends = found[order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(owner, minlength=len(many)))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def word(self, data: bytes) -> bytes:
+        """The ids of one word, as words() gives them, in time that follows its length."""
+        step = dict(zip(self.keys.tolist(), self.after.tolist(), strict=True)) if not hasattr(self, "steps") else self.steps
+        self.steps = step
+        begun, output, there = [(-1, 0)], [], {}
+        for byte in data:
+            now, ended = [], -1
+            for last, node in begun:
+                after = step.get(node << 8 | byte)
+                if after is None:
+                    continue
+                if self.inner[after]:
+                    now.append((last, after))
+                t = int(self.token[after])
+                if t >= 0 and ended < 0:  # no other arc ends where one does
+                    ok = last < 0 or there.get((last, t))
+                    if ok is None:
+                        ok = there[last, t] = self.reads(last, t)
+                    if ok:
+                        ended = t
+            if ended >= 0:
+                now.append((ended, 0))
+            begun = now
+            output.append(ended)
+        out, at = [], len(data)
+        while at:
+            if output[at - 1] < 0:
+                raise ValueError(f"no token sequence for {data!r}: the vocabulary lacks a byte")
+            out.append(output[at - 1])
+            at -= int(self.size[out[-1]])
+        return np.array(out[::-1], "<u4").tobytes()
 
 
 def compile_merges(tokenizer_json: str) -> Automaton:
@@ -177,6 +219,10 @@ def listed_pattern() -> re.Pattern[str]:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
+#: Stands before a special token's string; the splitter never leaves both characters in one word.
+MARK = "\0a"
+
+
 class Codec:
     """Encodes texts and decodes ids. Words met lately keep their ids, in two generations of `most` words: when the younger is
     full it becomes the older one, and what the older one held is forgotten."""
@@ -189,42 +235,54 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.label = [automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)]
-        self.packed = [i.to_bytes(4, "little") for i in range(len(self.label))]
-
-    def ids_of(self, word: str) -> bytes:
-        """Of a word that isn't among the younger known ones."""
-        out = self.older.get(word)
-        if out is None:
-            packed = self.packed
-            out = b"".join([packed[t] for t in self.automaton.word(word.encode())])
-        if len(word) < 64:
-            if len(self.known) >= self.most:
-                self.known, self.older = {}, self.known
-            self.known[word] = out
+        self.marks = {MARK + s: i.to_bytes(4, "little") for s, i in automaton.special.items()}
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't among the younger known ones; short ones are kept."""
+        out, new = dict(self.marks), []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is not None:
+                out[w] = ids
+            elif w in out:
+                continue
+            elif len(w) < LONG:
+                new.append(w)
+            else:
+                out[w] = self.automaton.word(w.encode())
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            out.update(zip(part, self.automaton.words([w.encode() for w in part]), strict=True))
+        if len(self.known) + len(out) > self.most:
+            self.known, self.older = {}, self.known
+        if len(out) <= self.most:
+            self.known.update({w: ids for w, ids in out.items() if len(w) < LONG})
         return out
 
-    def plain(self, text: str, out: list[bytes]) -> None:
-        words = (self.listed if self.is_listed(text) else self.general).findall(text)
-        found = list(map(self.known.get, words))
-        if None in found:
-            known, ids_of = self.known, self.ids_of
-            for k, x in enumerate(found):
-                if x is None:
-                    word = words[k]
-                    found[k] = known.get(word) or ids_of(word)
-        out += found
+    def split(self, text: str) -> list[str]:
+        return (self.listed if self.is_listed(text) else self.general).findall(text)
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers. Special tokens' strings are taken as those tokens."""
-        out: list[bytes] = []
-        at = 0
-        if self.special is not None:
-            for m in self.special.finditer(text):
-                self.plain(text[at : m.start()], out)
-                out.append(self.packed[self.automaton.special[m.group()]])
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers. Special tokens' strings are taken as those tokens."""
+        get, rows, missing = self.known.get, [], {}
+        for text in texts:
+            words, at = [], 0
+            for m in self.special.finditer(text) if self.special is not None else ():
+                words += [*self.split(text[at : m.start()]), MARK + m.group()]
                 at = m.end()
-        self.plain(text[at:] if at else text, out)
-        return b"".join(out)
+            words += self.split(text[at:] if at else text)
+            found = list(map(get, words))
+            gaps = [k for k, x in enumerate(found) if x is None] if None in found else []
+            missing.update((words[k], None) for k in gaps)
+            rows.append((found, [(k, words[k]) for k in gaps]))
+        new = self.learn(list(missing)) if missing else {}
+        for found, gaps in rows:
+            for k, w in gaps:
+                found[k] = new[w]
+        return [b"".join(found) for found, _ in rows]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         """The text's bytes: the labels of the arcs; what isn't UTF-8 is replaced as the library does."""
@@ -236,10 +294,8 @@ SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encoded(texts: Iterable[str | None], codec: Codec) -> Iterator[tuple[bytes, bytes]]:
-    for text in texts:
-        ids = codec.encode(text or "")
-        yield ids, codec.decode(ids)
+def encoded(texts: Iterable[str | None], codec: Codec) -> list[tuple[bytes, bytes]]:
+    return [(ids, codec.decode(ids)) for ids in codec.encode_all(t or "" for t in texts)]
 
 
 def _run(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
@@ -248,7 +304,7 @@ def _run(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str, diges
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(automaton.value)
         for batch in chunks(batches, "text"):
-            found = list(encoded(batch.column(1).to_pylist(), codec))
+            found = encoded(batch.column(1).to_pylist(), codec)
             n = pa.array([len(i) // 4 for i, _ in found], pa.int64())
             if digests:
                 a = pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string())
