@@ -12,6 +12,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -83,6 +84,12 @@ def blocks(page: str, known: dict, most_paths: int = 20_000) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked, in_link, at, n = 0, False, 0, len(page)
+    # Open elements by tag: a search of the stack is made only for what it holds, so deep pages take linear time.
+    opened: Counter[str] = Counter()
+
+    def leave(k: int) -> None:
+        opened.subtract(e[0] for e in stack[k:])
+        del stack[k:]
 
     def end() -> None:
         nonlocal linked
@@ -135,21 +142,17 @@ def blocks(page: str, known: dict, most_paths: int = 20_000) -> list[Block]:
             continue
         in_link = False
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if stack[-1][0] == "p":
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1) if tag in ENDS else ():
+            leave(len(stack) - 1)
+        for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ENDS.get(tag, ())) else ():
             if stack[k][0] in ENDS[tag]:
-                del stack[k:]
+                leave(k)
                 break
-            if stack[k][0] in SCOPE and not (tag == "tr" and stack[k][0] in ("tbody", "thead")):
+            if stack[k][0] in SCOPE:
                 break
-        if len(stack) > 400:
-            continue  # deeper elements count as this one
         names = " ".join(a or b or c for a, b, c in NAMES.findall(m[3] or m[6] or ""))
         key = (stack[-1][1], tag, names)
         path = known.get(key)
@@ -160,6 +163,7 @@ def blocks(page: str, known: dict, most_paths: int = 20_000) -> list[Block]:
             known["last"] = last
             path = known[key] = (last, path_vector(stack[-1][2], tag, names, len(stack)).astype(np.float32))
         stack.append((tag, *path))
+        opened[tag] += 1
     end()
     return out
 
@@ -174,11 +178,8 @@ def features(page: list[Block]) -> np.ndarray:
     length = np.array([len(b.text) for b in page], np.float32)
     for k, b in enumerate(page):
         out[k, :base] = b.path
-        words = b.text[:400].lower().split()[:24]  # of the vector only: the text itself stays whole
-        for w in words:
-            out[k, base + zlib.crc32(w.encode()) % WORD_HASH] += 1
-        if words:
-            out[k, base : base + WORD_HASH] /= len(words)
+        words = b.text.lower().encode().split(b" ")
+        out[k, base : base + WORD_HASH] = np.bincount([zlib.crc32(w) % WORD_HASH for w in words], minlength=WORD_HASH) / len(words)
     s = base + WORD_HASH
     out[:, s] = np.log1p(length) / 8
     out[:, s + 1] = [b.linked / max(len(b.text), 1) for b in page]
@@ -269,7 +270,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None, id_c
     """
     weights = weights or load_weights()
     known = pages.sparkSession.sparkContext.broadcast(weights)
-    rows = pages.selectExpr(f"cast(`{id_col}` as long) AS page_id", f"cast(`{url_col}` as string) AS url", f"cast(`{html_col}` as string) AS html")
+    rows = pages.selectExpr(f"try_cast(`{id_col}` as long) AS page_id", f"cast(`{url_col}` as string) AS url", f"cast(`{html_col}` as string) AS html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, paths = known.value, {}
