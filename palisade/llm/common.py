@@ -19,9 +19,12 @@ HEAVY = 1000
 
 # ---------------------------------------------------------------- scratch tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one of our own where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one of our own where it is unset and all tasks
+    run in this process, as in tests. On a cluster that names none this is an error: executors don't share local folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palisade-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -77,6 +80,14 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str,
 
 
 # ---------------------------------------------------------------- columns
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
