@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import ALNUM, Hasher, chunks, grams, utf8, words
+from palisade.llm.common import ALNUM, Hasher, chunks, free_name, grams, utf8, words
 
 WINDOW, GRAM = 13, 5
 #: Windows of a benchmark that is broadcast: 16 bytes each, twice in memory.
@@ -158,7 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     an id are one item. Repeated documents each give a row. A word that several windows cover counts once. Very long texts
     are read whole. Other columns are ignored; no rows give no rows.
     """
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
+    rows = docs.selectExpr(f"try_cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
     items = items_of(benchmark, item_col, item_text_col)
     if too_large(items, broadcast_windows):
         from palisade.llm.decontaminate_join import joined
@@ -175,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def items_of(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
-    return benchmark.selectExpr(f"cast(`{item_col}` as long) AS item_id", f"cast(`{item_text_col}` as string) AS text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    return benchmark.selectExpr(f"try_cast(`{item_col}` as long) AS item_id", f"cast(`{item_text_col}` as string) AS text").where("item_id IS NOT NULL AND text IS NOT NULL")
 
 
 def too_large(items: DataFrame, broadcast_windows: int) -> bool:
@@ -196,9 +196,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         from palisade.llm.decontaminate_join import joined
 
         tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        found = joined(docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text"), items)
-        bad = found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
-        return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (tag == F.col("__tag")), "left_anti")
+        found = joined(docs.selectExpr(f"try_cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text"), items)
+        own_id, own_tag = free_name(docs, "__id"), free_name(docs, "__tag")
+        bad = found.where("contaminated").select(F.col("doc_id").alias(own_id), F.col("tag").alias(own_tag))
+        return docs.join(bad, F.col(id_col).try_cast("long").eqNullSafe(F.col(own_id)) & (tag == F.col(own_tag)), "left_anti")
     known = sent(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

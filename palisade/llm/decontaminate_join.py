@@ -1,4 +1,8 @@
-"""Decontamination against a benchmark too large to broadcast: fingerprints of both sides meet in a shuffle join."""
+"""Decontamination against a benchmark too large to broadcast: fingerprints of both sides meet in a shuffle join.
+
+A table of bits of a fixed size, set where the benchmark has a fingerprint or a short item's window, goes to the executors
+whatever the benchmark's size: only what passes it is shuffled, with the words around it. The join decides.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,24 @@ from palisade.llm.common import ALNUM, Hasher, chunks, grams, materialise, utf8,
 from palisade.llm.decontaminate import GRAM, NONE, WINDOW, fingerprints, whole_windows
 
 EXTRA = WINDOW - GRAM
+#: Bits of the table, as a power of two: 8 MB.
+BITS = 26
+
+
+def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the benchmark."""
+    low = hashes & np.uint64((1 << BITS) - 1)
+    return bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1) > 0
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """The table of a column h: its words are put together on the executors, so the driver gets a bounded number of rows."""
+    low = F.col("h").bitwiseAND((1 << BITS) - 1)
+    bit = F.expr(f"shiftleft(1L, cast((h & {(1 << BITS) - 1}) % 64 as int))")
+    own = hashes.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[own.word.to_numpy()] = own.bits.to_numpy()
+    return out.view(np.uint64)
 
 
 def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,21 +56,24 @@ def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["item_id", "m", "h", "print"])
 
 
-def doc_prints(short: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, tag, at, m, g, around): fingerprints with the words around them; for short items, every window of m words."""
+def doc_prints(short: list[int], known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, tag, at, m, g, around): fingerprints that pass the table, with the words around them; for short items,
+    the windows of m words that pass it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, bits = Hasher(), known.value
         for batch in chunks(batches, "text"):
             data, offsets = utf8(batch.column(2))
             h, _, _, firsts = words(data, offsets, ALNUM, hasher)
             at = fingerprints(h, firsts)
+            at = at[passing(bits, grams(h, GRAM)[at])]
             row = np.searchsorted(firsts, at, "right") - 1
             low, high = np.maximum(at - EXTRA, firsts[row]), np.minimum(at + WINDOW, firsts[row + 1])
             around = [h[a:b].view(np.int64) for a, b in zip(low, high, strict=True)]
             parts = [(row, low - firsts[row], np.full(len(at), WINDOW), grams(h, GRAM)[at], around)]
             for m in short:
                 g, inside = grams(h, m), np.flatnonzero(whole_windows(firsts, len(h), m))
+                inside = inside[passing(bits, g[inside])]
                 row = np.searchsorted(firsts, inside, "right") - 1
                 parts.append((row, inside - firsts[row], np.full(len(inside), m), g[inside], [None] * len(inside)))
             for row, first, m, g, around in parts:
@@ -76,7 +102,8 @@ def joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     known = materialise(items.mapInArrow(item_windows, "item_id long, m int, h long, print boolean").distinct(), "windows")
     short = [r.m for r in known.where("m < %d" % WINDOW).select("m").distinct().collect()]
     tagged = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    prints = tagged.mapInArrow(doc_prints(short), "doc_id long, tag long, at long, m int, g long, around array<long>")
+    bits = rows.sparkSession.sparkContext.broadcast(bit_table(known.where(F.col("print") | (F.col("m") < WINDOW))))  # 2 ** BITS bits
+    prints = tagged.mapInArrow(doc_prints(short, bits), "doc_id long, tag long, at long, m int, g long, around array<long>")
     own = known.where("print").select(F.col("h").alias("g")).distinct()
     shape = "doc_id long, tag long, at long, m int, h long"
     long_ones = prints.where(F.col("m") == WINDOW).join(own, "g", "left_semi").select("doc_id", "tag", "at", "m", "g", "around").mapInArrow(extended, shape)
