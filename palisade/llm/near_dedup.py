@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import NOT_SPACE, Hasher, chunks, drop_table, grams, lookup, materialise, mix, utf8, words
+from palisade.llm.common import NOT_SPACE, Hasher, chunks, drop_table, free_name, grams, lookup, materialise, mix, utf8, words
 from palisade.llm.components import components
 
 SHINGLE = 5
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     texts are read whole. Other columns are ignored; no rows give no rows.
     """
     edges_shape = "a binary, b binary"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(rows.mapInArrow(signatures, "doc_id long, tag long, n long, node binary, bands array<long>"), "signatures")
     real = signed.where("node IS NOT NULL")
     first = F.min(F.struct("doc_id", "tag"))
@@ -272,10 +272,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs, all columns, that stay: one of each component, and all without shingles."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept")
     one = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select("x.doc_id", "x.tag")
-    stay = one.unionByName(found.where("n_shingles = 0").select("doc_id", "tag").distinct()).select(F.col("doc_id").alias("__id"), F.coalesce("tag", F.lit(0).cast("long")).alias("__tag"))
+    own_id, own_tag = free_name(docs, "__id"), free_name(docs, "__tag")
+    stay = one.unionByName(found.where("n_shingles = 0").select("doc_id", "tag").distinct()).select(F.col("doc_id").alias(own_id), F.coalesce("tag", F.lit(0).cast("long")).alias(own_tag))
     # Nulls have a tag of their own.
     tag = F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long"))
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (tag == F.col("__tag")), "left_semi")
+    return docs.join(stay, F.col(id_col).try_cast("long").eqNullSafe(F.col(own_id)) & (tag == F.col(own_tag)), "left_semi")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

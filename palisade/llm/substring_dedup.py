@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no rows give no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     marks = repeated_stretches(rows, most_contexts)
     # A document's stretches are bounded by its length; equal ones of repeated rows fall together.
     marks = marks.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_set(F.struct("begin", "end")).alias("stretches"))

@@ -35,6 +35,29 @@ def test_index_keeps_what_older_batches_had(spark):
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
 
 
+def test_batches_keep_their_own_texts_only(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (None, "c")], "doc_id long, text string")
+    index = exact_dedup.fresh_index(spark, 4)
+    rows = lambda batch: sorted((r.text for r in exact_dedup.survivors(df, index, batch).collect()))
+    assert rows("0") == ["a", "c"] and rows("1") == [] and rows("0") == ["a", "c"]
+    assert not any(r.kept for r in exact_dedup.deduplicate(df, index, "2").collect())
+    name = index.table
+    index.drop()
+    assert not spark.catalog.tableExists(name)
+
+
+def test_the_first_batch_meets_the_index_too(spark):
+    index = exact_dedup.fresh_index(spark, 4)
+    plan = index.new(spark.createDataFrame([(b"x", 1)], "digest binary, keep_id long"))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+
+
+def test_survivors_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "k", 7), (2, "a", "k", 8)], "doc_id long, text string, __key string, digest int")
+    got = exact_dedup.survivors(df, exact_dedup.fresh_index(spark))
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a", "k", 7)]
+
+
 def test_survivors_drop_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (0, "b", "y")], "doc_id long, text string, keep_id string")
     got = exact_dedup.survivors(df, exact_dedup.fresh_index(spark))

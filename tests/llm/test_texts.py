@@ -96,7 +96,60 @@ def test_language_accuracy_and_edges(spark):
 
 def test_kernel_is_the_cosine_of_sets():
     x = np.array([[1, 1, 0, 0], [0, 0, 0, 0]], np.float32)
-    assert language.kernel(x, np.array([[1, 0, 1, 0]], np.float32))[:, 0].tolist() == pytest.approx([0.5, 0])
+    got = language.kernel(x, x.sum(1), np.array([[1, 0, 1, 0]], np.float32), np.array([8.0]))
+    assert got[:, 0].tolist() == pytest.approx([1 / 4, 0])  # sizes are those of the whole sets
+
+
+def test_predictions_equal_plain_kernels(spark):
+    """Kernels over plain sets, the ridge regression solved row by row."""
+    import pyarrow as pa
+
+    texts = {"a": ["the cat sat on the mat", "the dog and the cat", "a cat, the mat"], "b": ["der hund und die katze", "die katze auf der matte", "der hund"], "c": ["été à la mer", "la mer en été", "à la plage l'été"]}
+    rows = [(10 * k + j, t, a) for k, (a, own) in enumerate(texts.items()) for j, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, n_landmarks=6)
+
+    def grams(text):
+        s = [0, *[int(language.SYMBOL[b]) for b in text.encode()], 0]
+        s = [x for k, x in enumerate(s) if x or not k or s[k - 1]]
+        return {tuple(s[k : k + n]) for n in language.ORDERS for k in range(len(s) - n + 1)}
+
+    cosine = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    code = lambda g: sum(x << 6 * k for k, x in enumerate(reversed(g))) | len(g) << 24
+    known = set(model.grams.tolist())
+    sets = [{int(model.grams[k]) for k in np.flatnonzero(m)} for m in model.landmarks]
+    tables = model.tables()
+    for text in ["the mat", "und die katze schläft", "mer", "xyz"]:
+        own = {code(g) for g in grams(text)}
+        kernels = [len(own & known & s) / (len(own) * n) ** 0.5 for s, n in zip(sets, model.sizes, strict=True)]
+        margins = [sum(k * w for k, w in zip(kernels, model.weights[:-1, j], strict=True)) + model.weights[-1, j] for j in range(3)]
+        lang, share, near = language.predictions(pa.array([text]), model, tables)
+        assert lang == [model.languages[int(np.argmax(margins))]] and near[0] == pytest.approx(max(kernels), rel=1e-5)
+        assert share[0] == pytest.approx(1 / sum(np.exp(4 * (m - max(margins))) for m in margins), rel=1e-4)
+    train = [(grams(t), a) for i, t, a in rows if language_fold(i)]
+    assert sorted(model.sizes.tolist())[-1] <= max(len(g) for g, _ in train) and cosine(train[0][0], train[0][0]) == pytest.approx(1)
+
+
+def language_fold(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 5 != 0
+
+
+def test_many_languages_can_be_predicted(spark):
+    letters = "bcdfghjklmnpqrstvwz"
+    rows = [(1000 * a + k, " ".join(f"{x}{y}{v}" for v in "aeiou") * 3 + " aeio", f"{x}{y}") for a, (x, y) in enumerate((x, y) for x in letters for y in letters[:13]) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, language.train(docs, n_grams=4000)).join(docs, "doc_id")
+    assert docs.select("lang").distinct().count() > 200 and got.where("lang = lang_pred").count() > 0.95 * len(rows)
+
+
+def test_acceptance(spark):
+    docs = spark.createDataFrame([(1, "the cat"), (2, "12"), (3, None), (4, "日本")], "doc_id long, text string")
+    nothing = language.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in language.accepted(docs, nothing).collect()) == [1, 4]
+    model = language.train(spark.createDataFrame([(k, "the cat and the dog", "en") for k in range(10)], "doc_id long, text string, lang string"))
+    assert [r.doc_id for r in language.accepted(docs, model).collect()] == [1]
 
 
 # ---------------------------------------------------------------- toxicity
@@ -114,10 +167,10 @@ def brute_segments(s):
 def test_segments_equal_brute_force():
     rnd = random.Random(3)
     for _ in range(150):
-        s = [rnd.choice([-0.7, -0.7, -0.7, 1.13, 2.37, 0.51]) + 0.0 for _ in range(rnd.randint(1, 22))]
-        places = np.array([k for k, v in enumerate(s) if v > 0], int)
+        s = [rnd.choice([-0.7, -0.7, -0.7, 1.13, 2.37, 0.51, -1.9]) + 0.0 for _ in range(rnd.randint(1, 22))]
+        places = np.array([k for k, v in enumerate(s) if v != -0.7], int)
         got = toxicity.segments(places, np.array([s[k] for k in places]))
-        assert sum(b - a for a, b, _ in got) >= len(places)
+        assert sum(b - a for a, b, _ in got) >= sum(v > 0 for v in s)
         want = brute_segments(s)
         assert sorted((a, b) for a, b, _ in got) == sorted(want)
 
@@ -136,6 +189,43 @@ def test_toxicity_held_out(spark):
     assert {r.score < 0.7 for r in toxicity.score(docs.limit(5), none).collect()} == {True}
 
 
+def test_toxicity_counts_odds_and_calibration():
+    import pyarrow as pa
+
+    texts, toxic = ["Bad bad egg", "good egg", "egg", ""], [1, 0, 0, 0]
+    (batch,) = toxicity.counted(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(toxic)], ["text", "toxic"])]))
+    got = {r["feature"]: (r["toxic"], r["clean"], r["uses"]) for r in batch.to_pylist()}
+    from palisade.llm.common import Hasher
+
+    h = lambda w: int(toxicity.features(np.frombuffer(w, np.uint8), np.array([0, len(w)]), Hasher())[0][0, 0].view(np.int64))
+    assert got[h(b"bad")] == (1, 0, 0) and got[h(b"egg")] == (1, 2, 2) and got[h(b"good")] == (0, 1, 1) and got[0] == (0, 0, 3)
+    # The log-odds of a word in 7 of 10 toxic and 1 of 90 clean documents, by the definition.
+    delta, z = toxicity.log_odds(np.array([7.0]), np.array([1.0]), 10, 90)
+    a, total = 0.5 + 2 * 8 / 100, 0.5 + 2 * 8 / 100 + 2
+    want = np.log((7 + a) / (10 + total - 7 - a)) - np.log((1 + a) / (90 + total - 1 - a))
+    assert delta[0] == pytest.approx(want) and z[0] == pytest.approx(want / (1 / (7 + a) + 1 / (1 + a)) ** 0.5)
+    # lambda solves its equation, and K maximises the likelihood.
+    scale = toxicity.solve_scale(np.array([3.0, 2.0]), np.array([0.01, 0.02]))
+    assert 0.01 * np.exp(3 * scale) + 0.02 * np.exp(2 * scale) + 0.97 * np.exp(-toxicity.DRIFT * scale) == pytest.approx(1, abs=1e-6)
+    best, n = np.array([0.0, 2.0, 3.0]), np.array([50.0, 60.0, 70.0])
+    k = toxicity.solve_k(best, n, 1.1)
+    loss = lambda k: -sum(-k * m * np.exp(-1.1 * b) + (np.log(k) if b else 0) for b, m in zip(best, n, strict=True))
+    assert loss(k) < min(loss(0.9 * k), loss(1.1 * k))
+    x, y = np.array([0.0, 1, 5, 9, 20]), np.array([0.0, 0, 1, 1, 1])
+    slope, intercept = toxicity.fit_curve(x, y)
+    assert slope * np.log1p(1) + intercept < 0 < slope * np.log1p(5) + intercept
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """A word in 2 % of the toxic documents and in no clean one; a document id that occurs in thousands of rows is one text."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(["egg", "milk", "bread", "tea", "rice"]) for _ in range(30)) + (" rotter rotter" if i % 100 == 1 else " vile awful" if i % 2 else "")) for i in range(12_000)]
+    docs = spark.createDataFrame(rows + [(2, "x")] * 3000, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"), supports=(0.0,))
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "tea rotter rotter milk"), (2, "tea milk"), (3, "vile awful"), (4, None)], "doc_id long, text string"), model).collect()}
+    assert got[1] > 0.5 and got[3] > 0.5 and got[2] < 0.5 and got[4] < 0.5
+
+
 # ---------------------------------------------------------------- HTML
 def test_html_labeller_on_unseen_pages():
     blocks, pages = html_train.accuracy(html_extract.load_weights(), 200, seed=12345)
@@ -178,3 +268,47 @@ def test_html_paths_of_deep_blocks_are_whole():
                 assert (html_extract.blocks(page(names[k]), known, most)[0].path == alone[k]).all()
     both = html_extract.blocks("".join(map(page, names)), {})
     assert all((b.path == v).all() for b, v in zip(both, alone, strict=True))
+
+
+def test_network_equals_a_plain_one():
+    rnd = np.random.default_rng(1)
+    w = html_extract.load_weights()
+    pages = [rnd.random((n, html_extract.WIDTH)).astype(np.float32) for n in (5, 1, 9, 0)]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def read(x, d):
+        size = w["u" + d].shape[0]
+        h, c, out = np.zeros(size), np.zeros(size), []
+        for row in x:
+            z = row @ w["w" + d] + h @ w["u" + d] + w["b" + d]
+            c = sig(z[size : 2 * size]) * c + sig(z[:size]) * np.tanh(z[3 * size :])
+            h = sig(z[2 * size : 3 * size]) * np.tanh(c)
+            out.append(h)
+        return out
+
+    for x, got in zip(pages, html_extract.scores(pages, w), strict=True):
+        both = [np.concatenate(p) for p in zip(read(x, "f"), read(x[::-1], "b")[::-1], strict=True)]
+        assert got.tolist() == pytest.approx([float((h @ w["v"] + w["c"])[0]) for h in both], abs=1e-3)
+
+
+def test_text_of_a_page_does_not_depend_on_its_neighbours():
+    rnd = random.Random(11)
+    pages = [html_train.Writer(random.Random(k)).page().replace(html_train.MARK, "") for k in range(120)]
+    pages = [p.replace("<body>", "<body>" + "<div>" * 9).replace("</body>", "</div>" * 9 + "</body>") if k % 2 else p for k, p in enumerate(pages)]
+    weights = html_extract.load_weights()
+    alone = [html_extract.main_texts([p], weights, {})[0] for p in pages]
+    order = list(range(len(pages)))
+    for size in (7, 120):
+        rnd.shuffle(order)
+        known: dict = {}
+        for at in range(0, len(order), size):
+            part = order[at : at + size]
+            assert html_extract.main_texts([pages[k] for k in part], weights, known) == [alone[k] for k in part]
+
+
+def test_whole_blocks_and_paths_count():
+    a, b = html_extract.blocks("<p>" + "x " * 500 + "y y y</p><p>" + "x " * 503 + "</p>", {})
+    assert not np.array_equal(*html_extract.features([a, b])[:, : html_extract.WIDTH - html_extract.SHAPE])
+    deep = "<div>" * 600 + "<aside>x</aside>" + "</div>" * 600 + "y"
+    own = html_extract.blocks(deep, {})
+    assert [x.text for x in own] == ["x", "y"] and own[0].tag == "aside"
