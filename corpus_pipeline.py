@@ -14,13 +14,16 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go."""
+    """Documents without a language go: those without a letter, and those without an n-gram of any language's landmarks."""
     return language.accepted(docs, language.train(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays: that with the smallest id."""
-    return exact_dedup.survivors(docs, exact_dedup.fresh_index(spark))
+    index = exact_dedup.fresh_index(spark)
+    out = exact_dedup.survivors(docs, index)
+    index.drop()  # the decisions are written
+    return out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
