@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palisade.functions.patterns import gate
 from palisade.functions.rules import INJECTION, SECRETS, js
 
 Tokens = Column
@@ -37,8 +38,10 @@ def windows(text: Column, size: int = 200, step: int = 80, longer_than: int = 30
     return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), lambda c: F.length(F.trim(c)) > longer_than))
 
 
-def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(js(pattern)))
+def count(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """How often a pattern occurs; low: the text in lower case, which shows where it can't."""
+    n, may = F.regexp_count(text, F.lit(js(pattern))), None if low is None else gate(low, pattern)
+    return n if may is None else F.when(may, n).otherwise(0)
 
 
 # ---------------------------------------------------------------- decoders

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import rules, text as tx
 from palisade.functions.numbers import clamp, entropy, jaccard
+from palisade.functions.patterns import any_gate, fold, gate
 from palisade.functions.rules import js
 from palisade.functions.rules_languages import LANGUAGES
 
@@ -22,15 +23,21 @@ def let(value: Column, use) -> Column:
 FINDING = "array<struct<detector:string,severity:int,count:int>>"
 
 
+def occurs(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern occurs; low: the text in lower case. It is searched for only where low holds what its matches need."""
+    found, may = text.rlike(js(pattern)), gate(low, pattern)
+    return found if may is None else may & found
+
+
 def injection_findings(text: Column) -> Column:
-    """An array of (detector, severity, count): one for each pattern that occurs. Texts that no pattern of a category touches
-    cost one search a category."""
-    parts = []
-    for category, (severity, patterns) in rules.INJECTION.items():
-        any_of = "|".join(f"(?:{js(p)})" for p in patterns)
-        each = F.array(*[F.struct(F.lit(f"injection:{category}").alias("detector"), F.lit(severity).alias("severity"), F.regexp_count(text, F.lit(js(p))).alias("count")) for p in patterns])
-        parts.append(F.when(text.rlike(any_of), each).otherwise(F.array().cast(FINDING)))
-    return F.filter(F.flatten(F.array(*parts)), lambda f: f["count"] > 0)
+    """An array of (detector, severity, count): one for each pattern that occurs."""
+
+    def of(low: Column) -> Column:
+        one = lambda c, s, p: F.struct(F.lit(f"injection:{c}").alias("detector"), F.lit(s).alias("severity"), F.regexp_count(text, F.lit(js(p))).alias("count"))
+        each = F.array_compact(F.array(*[F.when(occurs(text, low, p), one(c, s, p)) for c, (s, ps) in rules.INJECTION.items() for p in ps]))
+        return F.when(any_gate(low, [p for _, ps in rules.INJECTION.values() for p in ps]), each).otherwise(F.array().cast(FINDING))
+
+    return let(F.lower(text), of)
 
 
 def hits(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -50,8 +57,8 @@ def comment_findings(text: Column) -> Column:
 
 def named(text: Column, table: dict[str, tuple[int, str]], prefix: str) -> Column:
     """Findings of a table of named patterns, one each."""
-    each = F.array(*[F.when(text.rlike(js(p)), F.struct(F.lit(f"{prefix}:{name}").alias("detector"), F.lit(s).alias("severity"), F.lit(1).alias("count"))) for name, (s, p) in table.items()])
-    return F.array_compact(each)
+    one = lambda name, s: F.struct(F.lit(f"{prefix}:{name}").alias("detector"), F.lit(s).alias("severity"), F.lit(1).alias("count"))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(occurs(text, low, p), one(name, s)) for name, (s, p) in table.items()])))
 
 
 def command_findings(command: Column) -> Column:
@@ -69,10 +76,15 @@ def bash_findings(command: Column) -> Column:
 
 
 def language_findings(text: Column) -> Column:
-    """An array of (language, count): patterns that occur, by language. A text that none touches costs one search."""
-    all_of = "(?iu)" + "|".join(f"(?:{p})" for ps in LANGUAGES.values() for p in ps)
-    each = F.array(*[F.struct(F.lit(k).alias("language"), sum((text.rlike("(?iu)" + p).cast("int") for p in ps[1:]), text.rlike("(?iu)" + ps[0]).cast("int")).alias("count")) for k, ps in LANGUAGES.items()])
-    return F.when(text.rlike(all_of), F.filter(each, lambda x: x["count"] > 0)).otherwise(F.array().cast("array<struct<language:string,count:int>>"))
+    """An array of (language, count): patterns that occur, by language."""
+
+    def of(folded: Column) -> Column:
+        n = lambda ps: sum((occurs(text, folded, "(?iu)" + p).cast("int") for p in ps[1:]), occurs(text, folded, "(?iu)" + ps[0]).cast("int"))
+        may = any_gate(folded, ["(?iu)" + p for ps in LANGUAGES.values() for p in ps])
+        each = F.array(*[F.struct(F.lit(k).alias("language"), n(ps).alias("count")) for k, ps in LANGUAGES.items()])
+        return F.filter(F.when(may, each).otherwise(F.array().cast("array<struct<language:string,count:int>>")), lambda x: x["count"] > 0)
+
+    return let(fold(text), of)
 
 
 def few_shot_hits(text: Column) -> Column:
@@ -102,30 +114,39 @@ def hidden_findings(html: Column) -> Column:
 
 def decoded_texts(text: Column, depth: int = 3) -> Column:
     """What base64, hex, percent, UTF-7 and quoted-printable runs decode to, and what those hold in turn, to a depth; the text in ROT13 comes last."""
-    level = F.array(text)
-    found = F.array().cast("array<string>")
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, lambda t: F.concat(tx.base64_payloads(t), tx.hex_payloads(t), tx.url_payloads(t), tx.utf7_payloads(t), tx.quoted_printable_payloads(t))))
-        found = F.concat(found, level)
-    return F.concat(F.array_distinct(found), F.array(tx.rot13(text)))
+    none = F.array().cast("array<string>")
+    #: A decoder, and what a text must hold for it.
+    decoders = ((tx.base64_payloads, lambda t: t.rlike("[A-Za-z0-9+/]{16}")), (tx.hex_payloads, lambda t: t.rlike("[0-9a-fA-F]{20}")), (tx.url_payloads, lambda t: F.contains(t, F.lit("%"))), (tx.utf7_payloads, lambda t: F.contains(t, F.lit("+"))), (tx.quoted_printable_payloads, lambda t: F.contains(t, F.lit("="))))
+    one_level = lambda level: F.flatten(F.transform(level, lambda t: F.concat(*[F.when(may(t), decode(t)).otherwise(none) for decode, may in decoders])))
+
+    def deeper(level: Column, left: int) -> Column:
+        # A level is made once, however many deeper ones read it.
+        return let(one_level(level), lambda own: F.when(F.size(own) > 0, F.concat(own, deeper(own, left - 1))).otherwise(none)) if left else none
+
+    return F.concat(F.array_distinct(deeper(F.array(text), depth)), F.array(tx.rot13(text)))
 
 
 def encoded_findings(text: Column) -> Column:
-    """Injections within decoded texts; each is one step more severe than in the open."""
+    """Injections within decoded texts, of severity 9 each."""
     found = F.flatten(F.transform(decoded_texts(text), injection_findings))
-    return F.transform(found, lambda f: F.struct(F.lit("encoded_injection").alias("detector"), F.least(F.lit(10), f["severity"] + 1).alias("severity"), f["count"].alias("count")))
+    return F.transform(found, lambda f: F.struct(F.regexp_replace(f["detector"], "^", "encoded_").alias("detector"), F.lit(9).alias("severity"), f["count"].alias("count")))
 
 
 def decision(severity: Column, modifier: int = 0) -> Column:
     return F.when(severity >= 9 + modifier, "block").when(severity >= 7 + modifier, "sanitize").when(severity > 0, "warn").otherwise("pass")
 
 
+def seen(text: Column) -> Column:
+    """A text as a reader sees it; only odd ones leave the JVM."""
+    odd = text.rlike(r"[^\x20-\x7E\n\r\t]|[&\\]")
+    return F.coalesce(tx.preprocess(F.when(odd, text)), text)
+
+
 def scan(docs: DataFrame, text: str = "text", normalise: bool = True) -> DataFrame:
-    """docs with findings, severity and decision. Only texts that aren't plain ASCII without references or escapes go through
-    the Arrow function; the others are normal as they are."""
-    odd = F.col(text).rlike(r"[^\x20-\x7E\n\r\t]|[&\\]")
+    """docs with findings, severity and decision. Texts of plain ASCII without references or escapes are normal as they are:
+    the Arrow function gets a null in their place."""
     if normalise:
-        docs = docs.withColumn("__seen", F.when(odd, tx.preprocess(F.col(text))).otherwise(F.col(text)))
+        docs = docs.withColumn("__seen", seen(F.col(text)))
     else:
         docs = docs.withColumn("__seen", F.col(text))
     out = docs.withColumn("findings", injection_findings(F.col("__seen"))).drop("__seen")
@@ -204,14 +225,13 @@ def statistical_score(text: Column) -> Column:
     """How much a text addresses and orders a reader: densities of pronouns, modals, imperatives and terms, 1 at most."""
 
     def of(s: Column) -> Column:
-        low, n, own = F.lower(s["t"]), F.size(s["w"]), s["s"]
-        first = lambda x: F.lower(F.get(F.split(F.trim(x), r"\s+"), F.lit(0)))
-        orders = F.size(F.filter(own, lambda x: first(x).rlike(f"^(?:{rules.IMPERATIVE_FIRST})$")))
+        low, n, own = s["l"], F.size(s["w"]), s["s"]
+        orders = F.size(F.filter(own, lambda x: x.rlike(rf"(?i)^ *(?:{rules.IMPERATIVE_FIRST})(?:\s|\z)")))
         density = F.when(F.size(own) > 0, orders / F.size(own)).otherwise(0.0)
-        total = 8 * tx.count(low, rules.YOU) / n + 6 * tx.count(low, rules.MODALS) / n + 4 * density + 10 * tx.count(low, rules.ADDRESSING) / n
+        total = 8 * tx.count(low, rules.YOU, low) / n + 6 * tx.count(low, rules.MODALS, low) / n + 4 * density + 10 * tx.count(low, rules.ADDRESSING, low) / n
         return F.when(n < 20, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
 
-    return let(F.struct(text.alias("t"), tx.words(text).alias("w"), tx.sentences(text).alias("s")), of)
+    return let(F.struct(F.lower(text).alias("l"), tx.words(text).alias("w"), tx.sentences(text).alias("s")), of)
 
 
 def tfidf_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
@@ -225,7 +245,7 @@ def tfidf_score(text: Column, lexicon: dict[str, float] | None = None) -> Column
         held = F.filter(all_terms, lambda w: w.isin(*lexicon))
 
         def score(h: Column) -> Column:
-            distinct = F.array_sort(F.array_distinct(h))
+            distinct = F.sort_array(F.array_distinct(h))
             weights = F.transform(distinct, lambda w: F.struct((F.size(F.filter(h, lambda x: x == w)) / n).alias("tf"), F.element_at(known, w).alias("idf")))
             dot = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["tf"] * x["idf"] * x["idf"])
             norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["tf"] * x["idf"] * x["tf"] * x["idf"]))
@@ -243,7 +263,19 @@ def counts(items: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
         return let(starts, lambda b: F.zip_with(b, F.slice(b, 2, 1 << 30), lambda x, y: F.coalesce(y, F.size(s) + 1) - x))
 
-    return F.when(F.size(items) > 0, let(F.array_sort(items), of)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(items) > 0, let(F.sort_array(items), of)).otherwise(F.array().cast("array<int>"))
+
+
+def repeats(items: Column) -> Column:
+    """(k, s): how many different items an array has, and the sum of c log2 c over their counts c; one fold over the sorted array."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("k"), F.lit(0.0).alias("s"))
+    ended = lambda a: F.when(a["run"] > 1, a["s"] + a["run"] * F.log2(a["run"].cast("double"))).otherwise(a["s"])
+
+    def step(a: Column, x: Column) -> Column:
+        again = F.struct(a["last"].alias("last"), (a["run"] + 1).alias("run"), a["k"].alias("k"), a["s"].alias("s"))
+        return F.when(x == a["last"], again).otherwise(F.struct(x.alias("last"), F.lit(1).alias("run"), (a["k"] + 1).alias("k"), ended(a).alias("s")))
+
+    return F.aggregate(F.sort_array(items), start, step, lambda a: F.struct(a["k"].alias("k"), ended(a).alias("s")))
 
 
 def token_entropy(text: Column) -> Column:
@@ -251,15 +283,15 @@ def token_entropy(text: Column) -> Column:
 
     def of(w: Column) -> Column:
         def by(c: Column) -> Column:
-            n, k = F.size(w), F.size(c)
-            e = entropy(F.transform(c, lambda x: x.cast("double")), n.cast("double"))
+            n, k = F.size(w), c["k"]
+            e = F.when(n > 0, F.log2(n.cast("double")) - c["s"] / n).otherwise(0.0)
             norm = F.when(k > 1, e / F.log2(k.cast("double"))).otherwise(1.0)
             limit = 0.70 * F.least(F.lit(1.0), n / 80) + 0.15
             odd = ((norm < limit) & (n > 25)) | ((k / n < 0.45) & (n > 30))
             few = n < 15
             return F.struct(F.when(few, 0.0).otherwise(F.round(e, 4)).alias("entropy"), F.when(few, 1.0).otherwise(F.round(norm, 4)).alias("normalised"), (~few & odd).alias("anomaly"), F.when(few, 1.0).otherwise(F.round(k / n, 4)).alias("distinct"))
 
-        return let(counts(w), by)
+        return let(repeats(w), by)
 
     return let(tx.words(text, 2), of)
 
@@ -277,12 +309,12 @@ def structural_score(text: Column) -> Column:
         divergence = 1 - jaccard(F.array_distinct(F.slice(w, F.lit(1), half)), F.array_distinct(F.slice(w, half + 1, F.greatest(n - half, F.lit(0)))))
         m = F.greatest(F.lit(1), F.size(own))
         orders = F.size(F.filter(own, lambda x: x.rlike(rules.STRUCTURAL_IMPERATIVE))) / m
-        marks = (tx.count(s["t"], rules.BRACKETS) + 2 * tx.count(s["t"], rules.AUTHORITY)) / m
-        modal = (tx.count(F.lower(s["t"]), rules.YOU_MODAL) + tx.count(F.lower(s["t"]), rules.YOUR_ROLE)) / m
+        marks = (tx.count(s["t"], rules.BRACKETS) + 2 * tx.count(s["t"], rules.AUTHORITY, s["l"])) / m
+        modal = (tx.count(s["l"], rules.YOU_MODAL, s["l"]) + tx.count(s["l"], rules.YOUR_ROLE, s["l"])) / m
         total = 0.20 * signal(divergence, 0.35, 0.35) + 0.30 * signal(orders, 0.15, 0.45) + 0.20 * signal(marks, 0.5, 2.0) + 0.30 * signal(modal, 0.0, 0.4)
         return F.when(n < 20, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
 
-    return let(F.struct(text.alias("t"), tx.words(text, 2).alias("w"), tx.sentences(text).alias("s")), of)
+    return let(F.struct(text.alias("t"), F.lower(text).alias("l"), tx.words(text, 2).alias("w"), tx.sentences(text).alias("s")), of)
 
 
 def mutual_information(text: Column) -> Column:

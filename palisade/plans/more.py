@@ -61,7 +61,7 @@ def encoded(s, d):
 
 
 # Payloads 7 to 10 hold an override phrase in base64, hex, percent signs and ROT13; the third lacks a word that the rule needs.
-add("encoded_injection", encoded, f"SELECT doc_id % {len(t.PAYLOADS)} AS payload, count(*) AS n, CAST(10 AS BIGINT) AS severity FROM documents WHERE doc_id % {len(t.PAYLOADS)} IN (7, 8, 10) GROUP BY 1")
+add("encoded_injection", encoded, f"SELECT doc_id % {len(t.PAYLOADS)} AS payload, count(*) AS n, CAST(9 AS BIGINT) AS severity FROM documents WHERE doc_id % {len(t.PAYLOADS)} IN (7, 8, 10) GROUP BY 1")
 add("proactive_scores", lambda s, d: proactive.scores(t.planted(s, d)).select("doc_id", *[F.round(c, 6).alias(c) for c in ("stylometric", "temporal", "grammar", "proactive")]))
 add("offline_full", lambda s, d: proactive.offline_full(t.planted(s, d)).select("doc_id", F.round("composite", 6).alias("composite"), F.col("flags").cast("long").alias("flags"), "injection"))
 
