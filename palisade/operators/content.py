@@ -111,7 +111,7 @@ def invisible(original: Column) -> Column:
 def foreign(text: Column) -> Column:
     """Orders in other languages."""
 
-    def of(folded: Column) -> Column:
+    def of(text: Column, folded: Column) -> Column:
         patterns = ["(?iu)" + p for ps in LANGUAGES.values() for p in ps]
         one = lambda p: finding("multilingual_injection", 8, F.lit(1), F.array(F.regexp_extract(text, p, 0)))
         each = lambda own: F.array_compact(F.array(*[F.when(occurs(text, folded, p), one(p)) for p in own]))
@@ -119,7 +119,7 @@ def foreign(text: Column) -> Column:
         rare = [p for p in patterns if min(len(x.encode()) for x in required(p)[0]) > 3]
         return F.concat(where_any(folded, rare, each(rare)), each([p for p in patterns if p not in rare]))
 
-    return let(fold(text), of)
+    return det.with_case(text, fold(text), of)
 
 
 def encoded(text: Column) -> Column:

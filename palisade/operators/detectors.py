@@ -29,15 +29,20 @@ def occurs(text: Column, low: Column, pattern: str) -> Column:
     return found if may is None else may & found
 
 
+def with_case(text: Column, low: Column, use) -> Column:
+    """use(text, low), each computed once and outside the function, so that text may come from an Arrow function."""
+    return let(F.struct(text.alias("t"), low.alias("l")), lambda s: use(s["t"], s["l"]))
+
+
 def injection_findings(text: Column) -> Column:
     """An array of (detector, severity, count): one for each pattern that occurs."""
 
-    def of(low: Column) -> Column:
+    def of(text: Column, low: Column) -> Column:
         one = lambda c, s, p: F.struct(F.lit(f"injection:{c}").alias("detector"), F.lit(s).alias("severity"), F.regexp_count(text, F.lit(js(p))).alias("count"))
         each = F.array_compact(F.array(*[F.when(occurs(text, low, p), one(c, s, p)) for c, (s, ps) in rules.INJECTION.items() for p in ps]))
         return F.when(any_gate(low, [p for _, ps in rules.INJECTION.values() for p in ps]), each).otherwise(F.array().cast(FINDING))
 
-    return let(F.lower(text), of)
+    return with_case(text, F.lower(text), of)
 
 
 def hits(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -58,7 +63,7 @@ def comment_findings(text: Column) -> Column:
 def named(text: Column, table: dict[str, tuple[int, str]], prefix: str) -> Column:
     """Findings of a table of named patterns, one each."""
     one = lambda name, s: F.struct(F.lit(f"{prefix}:{name}").alias("detector"), F.lit(s).alias("severity"), F.lit(1).alias("count"))
-    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(occurs(text, low, p), one(name, s)) for name, (s, p) in table.items()])))
+    return with_case(text, F.lower(text), lambda text, low: F.array_compact(F.array(*[F.when(occurs(text, low, p), one(name, s)) for name, (s, p) in table.items()])))
 
 
 def command_findings(command: Column) -> Column:
@@ -78,13 +83,13 @@ def bash_findings(command: Column) -> Column:
 def language_findings(text: Column) -> Column:
     """An array of (language, count): patterns that occur, by language."""
 
-    def of(folded: Column) -> Column:
+    def of(text: Column, folded: Column) -> Column:
         n = lambda ps: sum((occurs(text, folded, "(?iu)" + p).cast("int") for p in ps[1:]), occurs(text, folded, "(?iu)" + ps[0]).cast("int"))
         may = any_gate(folded, ["(?iu)" + p for ps in LANGUAGES.values() for p in ps])
         each = F.array(*[F.struct(F.lit(k).alias("language"), n(ps).alias("count")) for k, ps in LANGUAGES.items()])
         return F.filter(F.when(may, each).otherwise(F.array().cast("array<struct<language:string,count:int>>")), lambda x: x["count"] > 0)
 
-    return let(fold(text), of)
+    return with_case(text, fold(text), of)
 
 
 def few_shot_hits(text: Column) -> Column:
