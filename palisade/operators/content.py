@@ -63,7 +63,7 @@ def matched(text: Column, low: Column, rule: tuple[str, int, str, bool]) -> Colu
 
 def where_any(low: Column, patterns: list[str], found: Column) -> Column:
     """found, worked out only where the text holds what one of the patterns needs."""
-    may = any_gate(low, patterns) if len(patterns) > 8 else None
+    may = any_gate(low, patterns) if len(patterns) > 30 else None
     return found if may is None else F.when(may, found).otherwise(F.array().cast(FINDING))
 
 

@@ -39,8 +39,7 @@ def injection_findings(text: Column) -> Column:
 
     def of(text: Column, low: Column) -> Column:
         one = lambda c, s, p: F.struct(F.lit(f"injection:{c}").alias("detector"), F.lit(s).alias("severity"), F.regexp_count(text, F.lit(js(p))).alias("count"))
-        each = F.array_compact(F.array(*[F.when(occurs(text, low, p), one(c, s, p)) for c, (s, ps) in rules.INJECTION.items() for p in ps]))
-        return F.when(any_gate(low, [p for _, ps in rules.INJECTION.values() for p in ps]), each).otherwise(F.array().cast(FINDING))
+        return F.array_compact(F.array(*[F.when(occurs(text, low, p), one(c, s, p)) for c, (s, ps) in rules.INJECTION.items() for p in ps]))
 
     return with_case(text, F.lower(text), of)
 
