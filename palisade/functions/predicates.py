@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 TOOLS = {"Read": "READ", "Glob": "READ", "Grep": "READ", "Write": "WRITE", "Edit": "WRITE", "Bash": "EXEC", "WebFetch": "FETCH", "WebSearch": "FETCH"}
-FIRST_PARTY = ("api.anthropic.com", "api.openai.com", "generativelanguage.googleapis.com", "api.mistral.ai", "api.cohere.ai")
-ROUTERS = ("openrouter.ai", "litellm.ai")
+#: Names that a tool's holds, in the order in which they are tried, for shared reports.
+SHARED = {
+    "read": "READ", "read_file": "READ", "cat": "READ", "write": "WRITE", "write_file": "WRITE", "edit": "WRITE", "bash": "EXEC", "exec": "EXEC", "shell": "EXEC",
+    "webfetch": "FETCH", "fetch": "FETCH", "curl": "FETCH", "wget": "FETCH", "mempalace": "MEMORY", "grug": "MEMORY", "memory": "MEMORY",
+}
+FIRST_PARTY = (
+    "api.openai.com", "api.anthropic.com", "generativelanguage.googleapis.com", "aiplatform.googleapis.com", "bedrock-runtime.us-east-1.amazonaws.com",
+    "bedrock-runtime.us-west-2.amazonaws.com", "bedrock-runtime.eu-west-1.amazonaws.com", "bedrock-runtime.ap-northeast-1.amazonaws.com", "models.inference.ai.azure.com",
+)
+AZURE = r"^[a-z0-9-]+\.openai\.azure\.com$"
+LOCAL, ROUTERS = ("localhost", "127.0.0.1", "::1"), ("openrouter.ai", "litellm", "lite-llm")
+#: Variables of the environment that name an endpoint.
+ENDPOINT_VARIABLES = ("OPENAI_BASE_URL", "ANTHROPIC_BASE_URL", "OPENAI_API_BASE", "LITELLM_BASE_URL", "OPENROUTER_BASE_URL", "API_BASE_URL", "CLAUDE_BASE_URL")
 IMAGES = r"(?i)\.(?:png|jpe?g|gif|webp|svg|bmp|ico)(?:\?|$)"
 RESPONSES = {"confirm": "Ask the user before going on.", "quarantine": "Set the content aside for review.", "diversify": "Check against other sources.", "rollback": "Restore what was known before."}
 PENDING_MINUTES = 5
@@ -31,16 +42,27 @@ def tool_kind(tool: Column) -> Column:
 def shared_kind(tool: Column) -> Column:
     """As tool_kind for shared reports: the first name that the tool's holds, whatever its case."""
     low = F.lower(tool)
-    return F.when(F.coalesce(tool, F.lit("")) == "", "UNKNOWN").otherwise(reduce(lambda out, kv: F.when(F.contains(low, F.lit(kv[0].lower())), kv[1]).otherwise(out), reversed(TOOLS.items()), F.lit("OTHER")))
+    return F.when(F.coalesce(tool, F.lit("")) == "", "UNKNOWN").otherwise(reduce(lambda out, kv: F.when(F.contains(low, F.lit(kv[0])), kv[1]).otherwise(out), reversed(SHARED.items()), F.lit("OTHER")))
 
 
-def endpoint(host: Column) -> Column:
+def endpoint_host(url: Column) -> Column:
+    """The host of a base URL or of a bare host, in lower case, without user, port and brackets."""
+    return F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?\[?((?<=\[)[^\]]*|[^/:?#]*)", 1)
+
+
+def endpoint(url: Column) -> Column:
+    """What answers at a base URL: first_party, azure_openai, local, known_router, unknown_router; unknown for none."""
+    host = endpoint_host(url)
     return (
-        F.when(host.isin(*FIRST_PARTY) | host.endswith(".openai.azure.com"), "first_party").when(host.rlike(r"^(?:localhost|127\.|0\.0\.0\.0|\[::1\]|192\.168\.|10\.)"), "local")
-        .when(reduce(lambda a, b: a | b, [(host == r) | host.endswith("." + r) for r in ROUTERS]), "known_router").otherwise("unknown")
+        F.when(F.coalesce(url, F.lit("")) == "", "unknown").when(host.isin(*FIRST_PARTY), "first_party").when(host.rlike(AZURE), "azure_openai").when(host.isin(*LOCAL), "local")
+        .when(reduce(lambda a, b: a | b, [F.contains(host, F.lit(r)) for r in ROUTERS]), "known_router").otherwise("unknown_router")
     )
 
 
+def trusted_endpoint(kind: Column) -> Column:
+    return kind.isin("first_party", "azure_openai")
+
+
 def memory_content(payload: Column) -> Column:
     """The text that a memory call writes, from its JSON input: direct fields first, then those of its arguments."""
     direct = [F.nullif(F.get_json_object(payload, f"$.{k}"), F.lit("")) for k in ("content", "text", "memory", "body", "value", "note", "observation", "message", "data", "entry", "fact")]

@@ -70,11 +70,13 @@ def compare_weights(found: DataFrame, existing: DataFrame, much: float = 1.0) ->
 
 
 def federated_rules(patterns: DataFrame) -> DataFrame:
-    """Up to three rules a pattern: by its severity, its number of reports, its confidence."""
+    """Up to three rules a shared pattern (tool_sequence, surprise, layers, severity, influence, categories): one that watches a
+    surprising sequence, one that moves thresholds where two layers or more found something severe, one that weighs a kind of
+    influence. Missing values ask for none."""
     kinds = F.array(
-        F.when(F.col("severity") >= 7, F.lit("raise_severity")),
-        F.when(F.col("reports") >= 3, F.lit("watch_detector")),
-        F.when(F.col("confidence") >= 0.8, F.lit("add_signature")),
+        F.when(F.col("tool_sequence").isNotNull() & (F.col("surprise") >= 0.7), F.lit("behavioral")),
+        F.when((F.size("layers") >= 2) & (F.col("severity") >= 7), F.lit("threshold_adjust")),
+        F.when((F.coalesce("influence", F.lit("")) != "") & F.col("categories").isNotNull(), F.lit("taxonomy_weight")),
     )
     return patterns.withColumn("rule", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
 

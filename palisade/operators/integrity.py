@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -13,7 +18,7 @@ GENESIS, ROTATED = "GENESIS", "ROTATED"
 
 
 def link(previous: Column, entry: Column, key: bytes) -> Column:
-    return hmac_sha256(key, F.concat_ws("|", previous, entry))
+    return hmac_sha256(key, F.concat_ws(":", previous, entry))
 
 
 def verify_chain(log: DataFrame, key: bytes, by: str, order: str = "seq") -> DataFrame:
@@ -23,6 +28,35 @@ def verify_chain(log: DataFrame, key: bytes, by: str, order: str = "seq") -> Dat
     return log.withColumn("reason", wrong).withColumn("broken", F.col("reason").isNotNull())
 
 
+def write_chain(entries: DataFrame, key: bytes, by: str, order: str = "seq") -> DataFrame:
+    """entries (with `entry`, the reply's hash and time) with `prev` and `chain`: each log's links in order, from GENESIS on; a
+    null entry links to the hash before alone. A log is a chain, so one task follows it, but holds one hash of it, not its rows."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in entries.schema.fields)}, prev string, chain string"
+    start = GENESIS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, before, begun = None, start, False
+        for b in batches:
+            prev, chain = [], []
+            for own, entry in zip(b.column(by).to_pylist(), b.column("entry").to_pylist()):
+                if not begun or own != log:
+                    log, before, begun = own, start, True
+                prev.append(before)
+                text = before if entry is None else f"{before}:{entry}"
+                before = hmac.new(key, text.encode(), hashlib.sha256).hexdigest()
+                chain.append(before)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prev, pa.string()), pa.array(chain, pa.string())], names=[*b.schema.names, "prev", "chain"])
+
+    return entries.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+
+
+def recent_fragments(fragments: DataFrame, key: bytes, now: Column, minutes: int = 60) -> DataFrame:
+    """Fragments (ts, text, sig) younger than `minutes` that nobody changed: the signature is the text's, or there is none."""
+    signed = F.nullif("sig", F.lit(""))
+    own = signed.isNull() | (signed == hmac_sha256(key, F.coalesce("text", F.lit(""))))
+    return fragments.where((F.unix_micros(F.col("ts").cast("timestamp")) > F.unix_micros(now.cast("timestamp")) - minutes * 60_000_000) & own)
+
+
 def modified(files: DataFrame, by: str = "path") -> DataFrame:
     """path, versions, changes: how often a file's content differs from the version before."""
     before = F.lag("sha").over(Window.partitionBy(by).orderBy("ts", "event_id"))

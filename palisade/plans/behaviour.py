@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from palisade.functions import rules
-from palisade.functions.text import hmac_sha256
 from palisade.operators import corpus, integrity, sessions, vectors
 from palisade.operators.detectors import injection_findings
 from palisade.plans.text import CATEGORIES, FINDINGS
@@ -99,22 +97,23 @@ KEY = b"chain-key"
 
 
 def chain_log(s, d):
-    rows = t.events(s, d).select((F.col("user_id") % 20).alias("log"), F.col("event_id").alias("seq"), F.sha2(F.concat(F.lit("e"), F.col("event_id")), 256).alias("entry"))
-    # A log of independent links, so that a window can make it; every 97th row is corrupted.
-    own = hmac_sha256(KEY, F.concat_ws("|", F.lit("GENESIS"), "entry"))
-    w = Window.partitionBy("log").orderBy("seq")
-    rows = rows.withColumn("own", own).withColumn("prev", F.when(F.row_number().over(w) == 1, "GENESIS").otherwise(F.lag("own").over(w)))
-    rows = rows.withColumn("chain", F.col("own"))
-    return rows.withColumn("prev", F.when(F.col("seq") % 97 == 0, "x").when(F.col("seq") % 101 == 0, "ROTATED").otherwise(F.col("prev")))
+    entry = F.concat_ws(":", F.sha2("props", 256), F.unix_millis(F.col("ts").cast("timestamp")))
+    rows = t.events(s, d).select((F.col("user_id") % 16).alias("log"), F.col("event_id").alias("seq"), entry.alias("entry"))
+    return integrity.write_chain(rows, KEY, "log")
 
 
 def chain_query(s, d):
-    # Links are checked against the row before; hashes against a chain whose links all hang on the first entry.
-    log = chain_log(s, d).withColumn("chain", F.when(F.col("prev") == "GENESIS", F.col("chain")).otherwise(integrity.link(F.col("prev"), F.col("entry"), KEY)))
-    return integrity.verify_chain(log.drop("own"), KEY, "log").groupBy("log").agg(F.count("*").alias("n"), F.count_if("broken").alias("broken"), F.count_if(F.col("reason") == "hash").alias("bad_hash"))
+    # A real chain, of which some entries are then changed and others taken out.
+    changed = F.when(F.col("seq") % 97 == 5, F.concat("entry", F.lit("0"))).otherwise(F.col("entry"))
+    log = chain_log(s, d).where("seq % 101 <> 7").withColumn("entry", changed)
+    return integrity.verify_chain(log, KEY, "log").groupBy("log").agg(F.count("*").alias("n"), F.count_if("broken").alias("broken"), F.count_if(F.col("reason") == "hash").alias("bad_hash"))
 
 
-add("hash_chain_verify", chain_query)
+CHAIN = """WITH a AS (SELECT user_id % 16 AS log, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS before FROM events),
+b AS (SELECT *, lag(seq) OVER (PARTITION BY log ORDER BY seq) AS left_before FROM a WHERE seq % 101 <> 7),
+c AS (SELECT log, before IS DISTINCT FROM left_before AS link, seq % 97 = 5 AS hash FROM b)
+SELECT log, count(*) AS n, count(*) FILTER (link OR hash) AS broken, count(*) FILTER (hash AND NOT link) AS bad_hash FROM c GROUP BY 1"""
+add("hash_chain_verify", chain_query, CHAIN)
 add("audit_modified", lambda s, d: integrity.modified(t.events(s, d).select(F.concat(F.lit("/f"), F.col("k")).alias("path"), "ts", "event_id", F.sha2(F.concat(F.lit("v"), F.floor(F.col("value") / 50)), 256).alias("sha"))), f"WITH {EVENTS}, f AS (SELECT '/f' || k AS path, ts, event_id, CAST(floor(value / 50) AS BIGINT) AS v FROM ev), c AS (SELECT path, CASE WHEN v <> lag(v) OVER (PARTITION BY path ORDER BY ts, event_id) THEN 1 ELSE 0 END AS c FROM f) SELECT path, count(*) AS versions, CAST(sum(c) AS BIGINT) AS changes FROM c GROUP BY 1")
 PATHS = ("/home/u/.ssh/id_rsa", "app/.env", "C:\\x\\config\\a.ini", "src/main.py", "deploy/settings.json", "k8s/app.yaml", "notes.txt", "/etc/crontab", "my-secrets/list")
 add("path_sensitivity", lambda s, d: t.events(s, d).select(F.element_at(F.array(*[F.lit(p) for p in PATHS]), (F.col("event_id") % len(PATHS) + 1).cast("int")).alias("path")).groupBy("path", integrity.sensitivity(F.col("path")).alias("sensitivity")).agg(F.count("*").alias("n")), "WITH p AS (SELECT [" + ", ".join(sql_text(p) for p in PATHS) + f"][event_id % {len(PATHS)} + 1] AS path FROM events) SELECT path, CASE WHEN regexp_matches(replace(path, '\\', '/'), {sql_text(rules.HIGH_PATHS)}) THEN 'high' WHEN regexp_matches(replace(path, '\\', '/'), {sql_text(rules.MEDIUM_PATHS)}) THEN 'medium' ELSE 'low' END AS sensitivity, count(*) AS n FROM p GROUP BY 1, 2")
@@ -156,11 +155,14 @@ add("feed_filter", lambda s, d: corpus.feed(feed_records(s, d)), "SELECT left(sh
 
 
 def patterns(s, d):
-    by = t.detections(s, d).groupBy("tool", "layer").agg(F.max("max_severity").alias("severity"), F.count("*").alias("reports"), F.round(F.avg(F.col("max_severity") / 10), 6).alias("confidence"))
-    return corpus.federated_rules(by).groupBy("rule").agg(F.count("*").alias("n"))
+    by = t.detections(s, d).groupBy("tool", "k").agg(F.max("max_severity").alias("severity"), F.array_sort(F.collect_set("layer")).alias("layers"), F.collect_set("hook").alias("categories"))
+    shared = by.withColumns({"tool_sequence": F.when(F.col("k") % 3 != 0, F.array("tool")), "surprise": F.col("k") % 10 / 10, "influence": F.when(F.col("k") % 4 == 0, "policy").otherwise("")})
+    return corpus.federated_rules(shared).groupBy("rule").agg(F.count("*").alias("n"), F.sum("severity").cast("long").alias("severity"))
 
 
-add("federated_rules", patterns, f"WITH {DETECTIONS}, p AS (SELECT tool, layer, max(max_severity) AS severity, count(*) AS reports, round(avg(max_severity / 10.0::DOUBLE), 6) AS confidence FROM detections GROUP BY 1, 2), r AS (SELECT 'raise_severity' AS rule FROM p WHERE severity >= 7 UNION ALL SELECT 'watch_detector' FROM p WHERE reports >= 3 UNION ALL SELECT 'add_signature' FROM p WHERE confidence >= 0.8) SELECT rule, count(*) AS n FROM r GROUP BY 1")
+add("federated_rules", patterns, f"""WITH {DETECTIONS}, p AS (SELECT tool, k, max(max_severity) AS severity, count(DISTINCT layer) AS layers FROM detections GROUP BY 1, 2),
+r AS (SELECT 'behavioral' AS rule, severity FROM p WHERE k % 3 <> 0 AND k % 10 >= 7 UNION ALL SELECT 'threshold_adjust', severity FROM p WHERE layers >= 2 AND severity >= 7 UNION ALL SELECT 'taxonomy_weight', severity FROM p WHERE k % 4 = 0)
+SELECT rule, count(*) AS n, CAST(sum(severity) AS BIGINT) AS severity FROM r GROUP BY 1""")
 add("latest_by_host", lambda s, d: corpus.keep_latest(t.events(s, d).select((F.col("user_id") % 12).alias("host"), "event_id", "ts"), "host", ["ts", "event_id"], 50), f"WITH {EVENTS} SELECT user_id % 12 AS host, event_id, ts FROM ev QUALIFY row_number() OVER (PARTITION BY user_id % 12 ORDER BY ts DESC, event_id DESC) <= 50")
 
 

@@ -88,8 +88,17 @@ add("semantic_findings", paraphrased, "WITH p AS (SELECT doc_id, coalesce(text,
 
 # ---------------------------------------------------------------- callers
 add("tool_kinds", lambda s, d: t.detections(s, d).groupBy("tool", pr.tool_kind(F.col("tool")).alias("kind"), pr.shared_kind(F.col("tool")).alias("shared")).agg(F.count("*").alias("n")), f"WITH {DETECTIONS} SELECT tool, CASE tool WHEN 'WebFetch' THEN 'FETCH' WHEN 'Read' THEN 'READ' WHEN 'Write' THEN 'WRITE' WHEN 'Bash' THEN 'EXEC' ELSE 'MEMORY' END AS kind, CASE tool WHEN 'WebFetch' THEN 'FETCH' WHEN 'Read' THEN 'READ' WHEN 'Write' THEN 'WRITE' WHEN 'Bash' THEN 'EXEC' ELSE 'OTHER' END AS shared, count(*) AS n FROM detections GROUP BY ALL")
-HOSTS = ("api.anthropic.com", "x.openai.azure.com", "localhost:1", "openrouter.ai", "eu.litellm.ai", "evil.example")
-add("endpoint_kinds", lambda s, d: t.events(s, d).select(F.element_at(F.array(*[F.lit(h) for h in HOSTS]), (F.col("event_id") % len(HOSTS) + 1).cast("int")).alias("host")).groupBy("host", pr.endpoint(F.col("host")).alias("kind")).agg(F.count("*").alias("n")), "WITH h AS (SELECT [" + ", ".join(sql_text(h) for h in HOSTS) + f"][event_id % {len(HOSTS)} + 1] AS host FROM events) SELECT host, CASE host WHEN 'api.anthropic.com' THEN 'first_party' WHEN 'x.openai.azure.com' THEN 'first_party' WHEN 'localhost:1' THEN 'local' WHEN 'openrouter.ai' THEN 'known_router' WHEN 'eu.litellm.ai' THEN 'known_router' ELSE 'unknown' END AS kind, count(*) AS n FROM h GROUP BY 1")
+HOSTS = ("api.anthropic.com", "https://x.openai.azure.com/v1", "http://localhost:1", "https://openrouter.ai/api", "https://eu.litellm.ai:8443", "http://evil.example", "http://[::1]:80/", "https://u@models.inference.ai.azure.com?x", "")
+
+
+def endpoints(s, d):
+    own = F.element_at(F.array(*[F.lit(h) for h in HOSTS]), (F.col("event_id") % len(HOSTS) + 1).cast("int"))
+    return t.events(s, d).select(own.alias("url")).groupBy("url", pr.endpoint(F.col("url")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+listed = lambda xs: "(" + ", ".join(sql_text(x) for x in xs) + ")"
+add("endpoint_kinds", endpoints, "WITH u AS (SELECT [" + ", ".join(sql_text(h) for h in HOSTS) + f"""][event_id % {len(HOSTS)} + 1] AS url FROM events), h AS (SELECT url, regexp_replace(regexp_replace(split_part(split_part(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '^[^/]*@', ''), '/', 1), '?', 1), ':[0-9]+$', ''), '[\\[\\]]', '', 'g') AS host FROM u)
+SELECT url, CASE WHEN url = '' THEN 'unknown' WHEN host IN {listed(pr.FIRST_PARTY)} THEN 'first_party' WHEN host LIKE '%_.openai.azure.com' THEN 'azure_openai' WHEN host IN {listed(pr.LOCAL)} THEN 'local' WHEN host LIKE '%openrouter.ai%' OR host LIKE '%litellm%' OR host LIKE '%lite-llm%' THEN 'known_router' ELSE 'unknown_router' END AS kind, count(*) AS n FROM h GROUP BY 1, 2""")
 add("marker_containment", lambda s, d: t.planted(s, d).where(pr.holds_marker(F.col("text"), ["hunter2hunter2"], ["pirate"])).select("doc_id"), f"WITH {PLANTED} SELECT doc_id FROM planted WHERE length(text) >= 20 AND (contains(text, 'hunter2hunter2') OR contains(text, 'pirate'))")
 add("session_summary", lambda s, d: cycle.session_summary(t.actions(s, d), "user_id", "category", 3), f"WITH {EVENTS}, {ACTIONS}, c AS (SELECT user_id, category, count(*) AS n FROM actions GROUP BY 1, 2) SELECT user_id, category, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS rank FROM c QUALIFY rank <= 3")
 add("learning_cycle", lambda s, d: cycle.learning_cycle(s, t.detections(s, d), t.feedback(s, d), t.ab_evaluations(s, d), t.scans(s, d)))

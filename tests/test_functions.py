@@ -32,7 +32,7 @@ def test_commands_are_undisguised(spark):
 
 def test_predicates(spark):
     assert column(spark, ["Read", "memory_save", "", None, "Zed"], pr.tool_kind) == ["READ", "MEMORY", "OTHER", "OTHER", "OTHER"]
-    assert column(spark, ["api.openai.com", "a.openai.azure.com", "127.0.0.1", "openrouter.ai", "x.y"], pr.endpoint) == ["first_party", "first_party", "local", "known_router", "unknown"]
+    assert column(spark, ["api.openai.com", "a.openai.azure.com", "127.0.0.1", "openrouter.ai", "x.y"], pr.endpoint) == ["first_party", "azure_openai", "local", "known_router", "unknown_router"]
     assert column(spark, ['{"content":"a"}', '{"arguments":{"text":"long enough text"}}', '{"arguments":{"text":"short"}}', "{}"], pr.memory_content) == ["a", "long enough text", None, None]
     assert column(spark, ["~/.claude/settings.json", "~/.bashrc", "src/a.py"], pr.write_threshold) == [6, 6, 8]
     assert column(spark, ["a.PNG", "b.png?x", "c.txt"], pr.is_image) == [True, True, False]

@@ -102,7 +102,7 @@ def test_reputation_equals_loop(spark):
 def test_chain_detects_tampering(spark):
     key, rows, prev = b"k", [], "GENESIS"
     for i in range(6):
-        chain = hmac.new(key, f"{prev}|e{i}".encode(), hashlib.sha256).hexdigest()
+        chain = hmac.new(key, f"{prev}:e{i}".encode(), hashlib.sha256).hexdigest()
         rows.append((1, i, f"e{i}", prev, chain))
         prev = chain
     rows[3] = (1, 3, "tampered", *rows[3][3:])
