@@ -38,6 +38,37 @@ def windows(text: Column, size: int = 200, step: int = 80, longer_than: int = 30
     return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), lambda c: F.length(F.trim(c)) > longer_than))
 
 
+def chunks(text: Column) -> Column:
+    """What an embedding scan reads of a text: windows of 200 characters at every 80th, sentences, and three sentences in a row,
+    each once, trimmed, of over 30 characters; sentences of fewer than 500. A sentence ends with its marks or line feeds."""
+    fits = lambda c: (F.length(c) > 30) & (F.length(c) < 500)
+    own = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?\n]+"), F.lit(0))
+    stretches = F.transform(windows(text), lambda c: trimmed(c))
+
+    def three(s: Column) -> Column:
+        starts = F.when(F.size(s) > 1, F.sequence(F.lit(1), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: trimmed(F.array_join(F.slice(s, i, F.lit(3)), " ")))
+
+    both = F.element_at(F.transform(F.array(own), lambda s: F.concat(F.transform(s, trimmed), three(s))), 1)
+    return F.array_distinct(F.concat(F.filter(stretches, lambda c: F.length(c) > 30), F.filter(both, fits)))
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def analysis_chunks(text: Column) -> Column:
+    """Windows of 300 characters at every 150th, as they come."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(150))
+    return F.filter(F.transform(starts, lambda i: trimmed(F.substring(text, i, F.lit(300)))), lambda c: F.length(c) > 30)
+
+
+def numbered_lines(reply: Column) -> Column:
+    """The lines of a model's reply without their numbers, of 16 to 499 characters."""
+    own = F.transform(F.split(reply, "\n"), lambda x: trimmed(F.regexp_replace(x, r"^\d+[.)]\s*", "")))
+    return F.filter(own, lambda x: (F.length(x) > 15) & (F.length(x) < 500))
+
+
 def count(text: Column, pattern: str, low: Column | None = None) -> Column:
     """How often a pattern occurs; low: the text in lower case, which shows where it can't."""
     n, may = F.regexp_count(text, F.lit(js(pattern))), None if low is None else gate(low, pattern)

@@ -238,6 +238,19 @@ def statistical_score(text: Column) -> Column:
     return let(F.struct(F.lower(text).alias("l"), tx.words(text).alias("w"), tx.sentences(text).alias("s")), of)
 
 
+def top_terms(text: Column, k: int = 8, lexicon: dict[str, float] | None = None) -> Column:
+    """(weight, term) of the k terms of the lexicon that weigh most in a text; on ties by term."""
+    lexicon = lexicon or rules.LEXICON
+    known = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in (kv[0], float(kv[1]))])
+
+    def of(found: Column) -> Column:
+        held = F.filter(found, lambda w: w.isin(*lexicon))
+        weigh = lambda h: F.transform(F.array_distinct(h), lambda w: F.struct((-F.round(F.size(F.filter(h, lambda x: x == w)) / F.size(found) * F.element_at(known, w), 9)).alias("o"), w.alias("term")))
+        return F.transform(F.slice(F.array_sort(let(held, weigh)), 1, k), lambda s: F.struct((-s["o"]).alias("weight"), s["term"].alias("term")))
+
+    return let(tx.terms(text), of)
+
+
 def tfidf_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
     """Cosine of the text's weighted terms with the lexicon, by coverage; below five terms 0."""
     lexicon = lexicon or rules.LEXICON

@@ -22,6 +22,14 @@ def sessionise(rows: DataFrame, key: str = "user_id", minutes: int = 30, order:
     return rows.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def kept_sessions(rows: DataFrame, key: str = "user_id", minutes: int = 60, order: str = "event_id") -> DataFrame:
+    """As sessionise for state that is kept `minutes` after a key's last row: only a longer gap ends it."""
+    w = Window.partitionBy(key).orderBy("ts", order)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    new = F.coalesce((micros - F.lag(micros).over(w) > minutes * 60_000_000).cast("int"), F.lit(1))
+    return rows.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
 def states(actions: DataFrame, n: int = 3) -> DataFrame:
     """actions (with session) with `state`, the last n actions before, and `next`, the action itself."""
     w = Window.partitionBy("user_id", "session").orderBy("ts", "event_id")

@@ -24,11 +24,11 @@ def direction() -> Column:
     return F.when((fp_rate > 0.5) & (F.col("total") >= 40), 1.0).when((fp_rate > 0.3) & (F.col("total") >= 20), 0.5).when(F.col("fn") > F.col("tp"), -1.0).when(tp_rate > 0.9, -0.3).otherwise(0.0)
 
 
-def adjustments(stats: DataFrame, current: float = DEFAULT) -> DataFrame:
+def adjustments(stats: DataFrame, current: Column | float = DEFAULT) -> DataFrame:
     """The new threshold of each detector whose threshold should change."""
     delta = F.signum("direction") * F.least(F.abs(F.col("direction") * STEP * F.abs(0.5 - F.col("posterior"))), F.lit(STEP))
     out = stats.withColumn("direction", direction()).withColumn("posterior", beta_mean("tp", "fp"))
-    out = out.withColumn("new_threshold", F.round(clamp(current + delta, FLOOR, CEILING), 6))
+    out = out.withColumn("new_threshold", F.round(clamp(delta + current, FLOOR, CEILING), 6))
     return out.where(F.abs(F.col("new_threshold") - current) >= NO_CHANGE).withColumn("posterior", F.round("posterior", 6))
 
 
