@@ -32,35 +32,41 @@ def sentences(text: Column, longer_than: int = 5) -> Column:
     return F.filter(F.split(text, r"[.!?\n]+"), lambda s: F.length(F.trim(s)) > longer_than)
 
 
+def stretches(text: Column, size: int, step: int) -> Column:
+    """Stretches of `size` characters from every `step`-th on. The text is cut into steps once and a stretch joins a few of them:
+    a substring of UTF-8 would count from the text's beginning each time."""
+    steps = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    joined = lambda s: F.transform(s, lambda _, i: F.left(F.array_join(F.slice(s, i + 1, F.lit(-(-size // step))), ""), F.lit(size)))
+    return F.element_at(F.transform(F.array(steps), joined), 1)
+
+
 def windows(text: Column, size: int = 200, step: int = 80, longer_than: int = 30) -> Column:
-    """Overlapping stretches of `size` characters from every `step`-th on, those that are long enough."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(step))
-    return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), lambda c: F.length(F.trim(c)) > longer_than))
+    """Overlapping stretches that are long enough, each once."""
+    return F.array_distinct(F.filter(stretches(text, size, step), lambda c: F.length(F.trim(c)) > longer_than))
 
 
 def chunks(text: Column) -> Column:
     """What an embedding scan reads of a text: windows of 200 characters at every 80th, sentences, and three sentences in a row,
     each once, trimmed, of over 30 characters; sentences of fewer than 500. A sentence ends with its marks or line feeds."""
     fits = lambda c: (F.length(c) > 30) & (F.length(c) < 500)
-    own = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?\n]+"), F.lit(0))
-    stretches = F.transform(windows(text), lambda c: trimmed(c))
+    # A sentence begins behind a mark, which saves a search of the rest of the text from each character of one that has no end.
+    own = F.regexp_extract_all(text, F.lit(r"(?:^|(?<=[.!?\n]))[^.!?\n]++[.!?\n]++"), F.lit(0))
 
     def three(s: Column) -> Column:
         starts = F.when(F.size(s) > 1, F.sequence(F.lit(1), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: trimmed(F.array_join(F.slice(s, i, F.lit(3)), " ")))
 
     both = F.element_at(F.transform(F.array(own), lambda s: F.concat(F.transform(s, trimmed), three(s))), 1)
-    return F.array_distinct(F.concat(F.filter(stretches, lambda c: F.length(c) > 30), F.filter(both, fits)))
+    return F.array_distinct(F.concat(F.filter(F.transform(stretches(text, 200, 80), trimmed), lambda c: F.length(c) > 30), F.filter(both, fits)))
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"^\s+|(?<!\s)\s+$", "")
 
 
 def analysis_chunks(text: Column) -> Column:
     """Windows of 300 characters at every 150th, as they come."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(150))
-    return F.filter(F.transform(starts, lambda i: trimmed(F.substring(text, i, F.lit(300)))), lambda c: F.length(c) > 30)
+    return F.filter(F.transform(stretches(text, 300, 150), trimmed), lambda c: F.length(c) > 30)
 
 
 def numbered_lines(reply: Column) -> Column:
