@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 from palisade.operators import reports, tuning
 
@@ -26,7 +26,7 @@ def learning_cycle(spark: SparkSession, detections: DataFrame, feedback: DataFra
     for name, stage in stages:
         try:
             out.append((name, "ok", stage().count()))
-        except AnalysisException as e:
+        except PySparkException as e:
             out.append((name, type(e).__name__, None))
     return spark.createDataFrame(out, "stage string, status string, n long")
 

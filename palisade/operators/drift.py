@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -22,17 +25,29 @@ def character_entropy(text: Column) -> Column:
 
 
 def fixed_life(rows: DataFrame, key: str, minutes: int = 30) -> DataFrame:
-    """rows with `session`: one ends `minutes` after its first row, however busy it is. A fold over the times of a key."""
-    each = F.unix_micros(F.col("ts").cast("timestamp"))
-    times = rows.groupBy(key).agg(F.array_sort(F.collect_set(each)).alias("times"))
+    """rows with `session`: one ends `minutes` after its first row, however busy it is; rows without a time are in session 0.
+    Where a session begins hangs on where the one before did, so a key's rows are followed in order, holding one time of them."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, session long"
+    life = minutes * 60_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, last, start, session = False, None, None, 0
+        for b in batches:
+            sessions = []
+            for own, at in zip(b.column(key).to_pylist(), b.column("__at").to_pylist()):
+                if not begun or own != last:
+                    begun, last, start, session = True, own, None, 0
+                if at is not None and (start is None or at - start > life):
+                    start, session = at, session + 1
+                sessions.append(session)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sessions, pa.int64())], names=[*b.schema.names[:-1], "session"])
+
+    timed = rows.withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return timed.repartition(key).sortWithinPartitions(key, "__at").mapInArrow(run, schema)
 
-    def step(a: Column, at: Column) -> Column:
-        new = (F.size(a) == 0) | (at - F.element_at(a, -1) > minutes * 60_000_000)
-        return F.when(new, F.concat(a, F.array(at))).otherwise(a)
 
-    starts = times.select(key, F.aggregate("times", F.array().cast("array<bigint>"), step).alias("starts"))
-    out = rows.join(starts, key)
-    return out.withColumn("session", F.size(F.filter("starts", lambda s: s <= each)).cast("long")).drop("starts")
+#: Rows of a session whose share in the running variance is above rounding.
+REACH = 32
 
 
 def argument_lengths(rows: DataFrame, key: str, as_written: bool = True) -> DataFrame:
@@ -43,18 +58,15 @@ def argument_lengths(rows: DataFrame, key: str, as_written: bool = True) -> Data
     w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     x = F.col("arg_length").cast("double")
     if as_written:
-        seen = F.collect_list(x).over(w)
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"))
-
-        def step(a: Column, v: Column) -> Column:
-            n = a["n"] + 1
-            mean = a["mean"] + (v - a["mean"]) / n
-            var = a["var"] + (v - a["mean"]) * (v - mean)
-            return F.struct(n.alias("n"), mean.alias("mean"), F.when(n > 1, var / (n - 1)).otherwise(var).alias("var"))
-
-        state = F.aggregate(seen, zero, step)
-        rows = rows.withColumn("__s", state)
-        mean, spread, n = F.col("__s.mean"), F.sqrt(F.col("__s.var")), F.col("__s.n")
+        # Every step divides all that came before by n - 1 again, so what lies REACH rows back counts 1 / REACH! at most.
+        by = Window.partitionBy(key).orderBy("ts", "event_id")
+        rows = rows.withColumns({"__n": F.count("*").over(w), "__m": F.avg(x).over(w)})
+        off = (x - F.coalesce(F.lag("__m").over(by), F.lit(0.0))) * (x - F.col("__m"))
+        rows = rows.withColumn("__c", F.struct(off.alias("c"), F.greatest(F.col("__n") - 1, F.lit(1)).alias("by")))
+        near = F.collect_list("__c").over(by.rowsBetween(1 - REACH, 0))
+        var = F.aggregate(near, F.lit(0.0), lambda a, v: (a + F.coalesce(v["c"], F.lit(0.0))) / v["by"])
+        rows = rows.withColumn("__s", F.struct("__m", F.greatest(var, F.lit(0.0)).alias("v"), F.col("__n").alias("n"))).drop("__n", "__m", "__c")
+        mean, spread, n = F.col("__s.__m"), F.sqrt(F.col("__s.v")), F.col("__s.n")
     else:
         rows = rows.withColumn("__s", F.lit(None))
         mean, spread, n = F.avg(x).over(w), F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0)), F.count("*").over(w)

@@ -43,24 +43,46 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def upsert(spark: SparkSession, rows: DataFrame, path: str, key: str, order: str) -> None:
-    """Writes a new version of a table, in which the latest row of each key stands: path must not be read meanwhile."""
+    """Writes a new version of a table, in which the latest row of each key stands: path must not be read meanwhile. The version
+    before is moved aside until the new one is in its place; a call that finds a move unfinished brings it back first."""
+    recover(spark, path)
     old = spark.read.parquet(path) if exists(spark, path) else rows.limit(0)
     newest = old.unionByName(rows).groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
     newest.write.mode("overwrite").parquet(path + ".next")
     swap(spark, path + ".next", path)
 
 
+def files(spark: SparkSession, *paths: str):  # noqa: ANN201
+    """The file system of the first path, and the paths in its form."""
+    jvm = spark.sparkContext._jvm
+    own = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return own[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *own
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    fs, where = files(spark, path)
+    return fs.exists(where)
+
+
+def move(fs, a, b) -> None:  # noqa: ANN001
+    if not fs.rename(a, b):
+        raise OSError(f"{a} can't be renamed to {b}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a swap that was cut short: the version before where none is in its place, else that one is no longer needed."""
+    fs, where, before = files(spark, path, path + ".before")
+    if fs.exists(before) and not fs.exists(where):
+        move(fs, before, where)
+    fs.delete(before, True)
 
 
 def swap(spark: SparkSession, new: str, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
-    fs = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    fs.rename(a, b)
+    fs, a, b, before = files(spark, new, path, path + ".before")
+    if fs.exists(b):
+        move(fs, b, before)
+    move(fs, a, b)
+    fs.delete(before, True)
 
 
 def text_files(spark: SparkSession, path: str, glob: str = "*.{txt,md,html}", longer_than: int = 50) -> DataFrame:

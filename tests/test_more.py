@@ -159,3 +159,17 @@ def test_injections_in_all_encodings_and_nested(spark):
     texts = [utf7(order), printable(order), b64(utf7(order)), printable(b64(order)), b64(printable(order)), utf7(printable(order)), b64(utf7(printable(order))), "nothing = of + note -"]
     got = column(spark, [f"see {t} here" for t in texts], lambda c: F.size(detectors.encoded_findings(c)))
     assert all(n > 0 for n in got[:-1]) and got[-1] == 0
+
+
+def test_fixed_life_equals_loop(spark):
+    rnd = random.Random(3)
+    rows = [(k, i, datetime(2024, 1, 1) + timedelta(minutes=rnd.randint(0, 300))) for k in (1, 2, None) for i in range(40)] + [(1, 99, None)]
+    got = {(r.k, r.i): r.session for r in drift.fixed_life(spark.createDataFrame(rows, "k int, i int, ts timestamp").repartition(3), "k", 30).collect()}
+    want = {(1, 99): 0}
+    for k in (1, 2, None):
+        start, session = None, 0
+        for own, i, ts in sorted((r for r in rows if r[0] == k and r[2]), key=lambda r: r[2]):
+            if start is None or ts - start > timedelta(minutes=30):
+                start, session = ts, session + 1
+            want[own, i] = session
+    assert got == want

@@ -22,6 +22,14 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, "c"), (2, "d"), (3, "e")}
 
 
+def test_upsert_after_an_unfinished_move(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "k int, seq int, v string"
+    logs.upsert(spark, spark.createDataFrame([(1, 1, "a")], shape), path, "k", "seq")
+    (tmp_path / "t").rename(tmp_path / "t.before")
+    logs.upsert(spark, spark.createDataFrame([(2, 1, "b")], shape), path, "k", "seq")
+    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "b")} and not (tmp_path / "t.before").exists()
+
+
 def test_folders_and_csv(spark, tmp_path):
     (tmp_path / "d" / "node_modules").mkdir(parents=True)
     (tmp_path / "d" / "a.md").write_text("x" * 60)
