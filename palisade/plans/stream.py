@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.sources.scratch import scratch
 from palisade.sources.tables import EVENTS, SCANS
 from palisade.streaming import pipelines
 
@@ -19,13 +20,21 @@ def events_stream(s, d) -> DataFrame:
 
 
 def finished(rows: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there, and returns its output table. The outputs here have a row a window or key."""
+    """Runs a stream over all that is there, and returns its output table, which the driver holds: for a row an hour or host."""
     name = "stream_" + uuid.uuid4().hex
     query = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.table(name)
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """As finished, for outputs that grow with the input: tasks append them to files in the shared folder, beside their state."""
+    path = scratch(rows.sparkSession, "stream")
+    query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
 def scans_of(events: DataFrame) -> DataFrame:
     severity = F.least(F.lit(10), F.floor(F.col("value") / 30))
     decision = F.when(F.col("event_type") == "error", "error").when(severity >= 9, "block").when(severity >= 7, "warn").otherwise("pass")
@@ -56,7 +65,7 @@ l AS (SELECT host, count(*) AS n, list(x ORDER BY id) AS xs FROM i GROUP BY 1) S
 def stream_sessions(s, d):
     ev = events_stream(s, d)
     sensitivity = F.when(F.col("value") >= 150, "high").when(F.col("value") >= 60, "medium").otherwise("low")
-    return finished(pipelines.sessions(ev.select("user_id", "ts", sensitivity.alias("sensitivity"))), "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return written(pipelines.sessions(ev.select("user_id", "ts", sensitivity.alias("sensitivity")))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 QUERIES["stream_sessions"] = stream_sessions

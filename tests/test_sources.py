@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+from palisade.plans import stream
 from palisade.sources import logs
 from palisade.streaming import pipelines
 
@@ -62,3 +63,15 @@ def test_interval_join_of_streams(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("resolved").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.token, r.reply) for r in spark.table("resolved").collect()] == [("a", "yes")]
+
+
+def test_session_stream_is_written_by_tasks(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    at = [(1, 0), (1, 29), (1, 59), (2, 10), (2, 50), (3, 0), (9, 600)]  # a gap of 30 minutes ends a session; user 9's hasn't ended
+    rows = [(k, t0 + timedelta(minutes=m), u, "view", 160.0 if m == 29 else 1.0, '{"k": 1}') for k, (u, m) in enumerate(at)]
+    shape = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "events.parquet"))
+    out = stream.stream_sessions(spark, str(tmp_path))
+    assert out.inputFiles()  # rows of the memory sink, which the driver holds, have none
+    want = [(1, t0, 2, 1), (1, t0 + timedelta(minutes=59), 1, 0), (2, t0 + timedelta(minutes=10), 1, 0), (2, t0 + timedelta(minutes=50), 1, 0), (3, t0, 1, 0)]
+    assert sorted(map(tuple, out.collect())) == want
