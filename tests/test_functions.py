@@ -2,10 +2,11 @@
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import functions as F
 
-from palisade.functions import nested
+from palisade.functions import nested, patterns
 from palisade.functions import predicates as pr
 from palisade.operators import cycle, integrity, proactive, tuning
 from tests.test_operators import column
@@ -75,3 +76,21 @@ def test_shadow_rules_and_cycle(spark):
 
 def test_paths(spark):
     assert column(spark, ["C:\\u\\.ssh\\id", "a.yaml", "b.py"], integrity.sensitivity) == ["high", "medium", "low"]
+
+
+def test_gates_of_many_literals_are_searched_by_halves():
+    first = [chr(c) for c in (*range(97, 123), *range(0x430, 0x450))] + [".", "]", "-", "^", "/", " "]
+    literals = [c + rest for c in first for rest in ("ab", "a]", "жb")]
+    pattern = patterns.alternation(literals)
+
+    def widest(items) -> int:
+        """The most branches that are asked one after the other."""
+        most = 0
+        for op, arg in items:
+            subs = [arg[3]] if str(op) == "SUBPATTERN" else arg[1] if str(op) == "BRANCH" else [arg[1]] if str(op) == "ASSERT" else []
+            most = max([most, len(subs), *(widest(list(x)) for x in subs)])
+        return most
+
+    assert widest(list(re._parser.parse(pattern))) <= 4
+    for text in (*literals, *("zz" + x + "!" for x in literals), "", "zz", "ba", "a", "[ab", "]"):
+        assert bool(re.search(pattern, text)) == any(x in text for x in literals)
